@@ -101,7 +101,7 @@ WHERE epochs + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END > 0
 
 SUBSTRING_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(COALESCE(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
-win AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1 : i + 35], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(len(ws) - 34)) AS i FROM w WHERE len(ws) >= 35)),
+win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(ws[i + 1 : i + 35], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(len(ws) - 34)) AS i FROM w WHERE len(ws) >= 35)),
 dup AS (SELECT h FROM win GROUP BY h HAVING COUNT(*) > 1),
 gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS g FROM win SEMI JOIN dup USING (h) GROUP BY doc_id),
 kept AS (SELECT w.doc_id, len(ws) AS n, CASE WHEN g IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(g, i - 1)) END AS k FROM w LEFT JOIN gone USING (doc_id))
@@ -128,11 +128,11 @@ FROM e GROUP BY conv_id
 """
 
 JACCARD_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(len(ws) - 4), lambda i: array_to_string(ws[i + 1 : i + 5], ' '))) END AS sh FROM w),
-n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
-x AS (SELECT doc_id, unnest(sh) AS t FROM s),
-l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.t = b.t AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+n AS MATERIALIZED (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+x AS MATERIALIZED (SELECT doc_id, unnest(sh) AS t FROM s),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.t = b.t AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
   GROUP BY a.doc_id, b.doc_id HAVING 100 * COUNT(*) >= 80 * (ANY_VALUE(na.n) + ANY_VALUE(nb.n) - COUNT(*))),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT n.doc_id, n.n AS n_shingles, MIN(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
