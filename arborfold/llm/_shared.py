@@ -161,14 +161,37 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 # ---- components -----------------------------------------------------------------------------------------
 
 
+def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict = {}
+
+    def root(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("a").type
+        for a, b in zip(*(batch.column(c).to_pylist() for c in "ab"), strict=True):
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    if up:
+        pairs = [(x, root(x)) for x in up]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*((x, r) for x, r in pairs if x != r), strict=True)], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (a, b), root the smallest node reachable.
 
-    Large-star and small-star steps in turn, each written to the shared folder, until nothing changes.
+    Up to BROADCAST_ROWS edges are joined in one task.  More go through large-star and small-star steps in turn, each
+    written to the shared folder, until nothing changes.
     """
     e = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if e.isEmpty():
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if e.count() <= BROADCAST_ROWS:
+        kind = e.schema["a"].dataType.simpleString()
+        return e.coalesce(1).mapInArrow(_join_all, f"node {kind}, root {kind}")
     while True:
         old = e
         # large star: all larger neighbours of a node point to the least of its neighbourhood

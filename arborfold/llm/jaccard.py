@@ -10,9 +10,10 @@ a pair must meet there at least T minus what its long lists can still give, or i
 the long lists are probed: both whole shingle sets are compared by binary search.  Any order of shingles gives the
 same links; frequent ones come from a list of at most `frequent` shingles, so what is broadcast has a fixed bound.
 
-Equal sets collapse to one node before anything is paired.  In lists of over `star` nodes, members are first paired
-with one pivot of each size class only; nodes that end in one component need no further pair.  What is left between
-different components is then paired in full, so no link is lost.
+Equal sets collapse to one node before anything is paired.  While the lists hold far more pairs than rows, members of
+lists of over `star` nodes are first paired with one pivot of each size class, in two lists each; nodes that end in
+one component need no further pair.  All pairs that are left between different components follow, so no link that
+could join two components is lost.
 
 Defined cases: null text or text without words has no shingles and links with nothing (component_id is its own
 doc_id); fewer than k words make one shingle, the whole sequence; repeated rows are equal sets, each row is returned;
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborfold.llm._shared import CHUNK_BYTES, chunks, components, forget, grams, mix, saved, small_or_not, words
@@ -154,7 +155,7 @@ def _probe(k: int, cut: tuple[int, int]):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), frequent: int = 65_536, often: int = 3, star: int = 16, rounds: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), frequent: int = 500_000, often: int = 3, star: int = 16, rounds: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
     threshold: the least similarity as a fraction.  frequent: length of the broadcast list of frequent shingles.
@@ -180,26 +181,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     fits = F.least("na", "nb") * down >= F.greatest("na", "nb") * up
     cls = F.floor(F.log("n") / float(np.log(down / up)))
 
-    long_lists = saved(lists.filter(F.col("l") > star).withColumn("cls", cls))
-    many = long_lists.groupBy("node").agg(F.count("*").alias("m"))
-
-    def stars(posts: DataFrame, seed: int) -> DataFrame:
-        """Each member with the pivot of its size class and of the next smaller one."""
-        pivots = posts.groupBy("token", "cls").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n")).alias("p"))
+    def stars(posts: DataFrame, turn: int) -> DataFrame:
+        """Pairs of each member with the pivots of its own and the next smaller size class, in two of its lists."""
+        first = F.desc("l") if turn == 0 else F.xxhash64("token", "node", F.lit(turn))
+        few = posts.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy(first, F.xxhash64("token")))).filter("i <= 2").withColumn("cls", cls)
+        pivots = posts.withColumn("cls", cls).groupBy("token", "cls").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")).alias("p"))
         pivots = pivots.select("token", F.explode(F.array("cls", F.col("cls") + 1)).alias("cls"), F.col("p.node").alias("a"), F.col("p.n").alias("na"))
-        return posts.select("token", "cls", F.col("node").alias("b"), F.col("n").alias("nb")).join(pivots, ["token", "cls"]).filter("a <> b").filter(fits)
-
-    def ordered(e: DataFrame, *more: str) -> DataFrame:
-        first = F.col("a") < F.col("b")
-        swap = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-        return e.select(swap("a", "b").alias("a"), swap("b", "a").alias("b"), swap("na", "nb").alias("na"), swap("nb", "na").alias("nb"), *more)
-
-    p, q = lists.filter(F.col("l") <= star), lists.filter(F.col("l") <= star)
-    small = p.select("token", F.col("node").alias("a"), F.col("n").alias("na")).join(q.select("token", F.col("node").alias("b"), F.col("n").alias("nb")), "token").filter("a < b").filter(fits).withColumn("met", F.lit(1))
-    pairs = ordered(stars(long_lists, 0), F.lit(0).alias("met")).union(small.select("a", "b", "na", "nb", "met")).groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
-    pairs = pairs.join(many.select(F.col("node").alias("a"), F.col("m").alias("ma")), "a", "left").join(many.select(F.col("node").alias("b"), F.col("m").alias("mb")), "b", "left")
-    unseen = F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
-    pairs = saved(pairs.filter(F.col("met") + unseen + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b"))
+        pairs = few.select("token", "cls", F.col("node").alias("b"), F.col("n").alias("nb")).join(pivots, ["token", "cls"]).filter("a <> b").filter(fits)
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # the whole text of one document of each node that is in some pair
     names = each.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.min("doc_id").alias("doc_id"))
@@ -214,31 +203,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
         forget(texts)
         return out
 
-    links = linked(pairs)
-    root = saved(components(links))
-    turn = 0
-    while True:
-        turn += 1
-        labelled = long_lists.join(root, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
+    links = docs.sparkSession.createDataFrame([], "a binary, b binary")
+    root = components(links)
+    for turn in range(rounds + 1):
+        labelled = lists.join(root, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
         left = labelled.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("l"), F.sum(F.col("m") * F.col("m")).alias("s"), F.count("*").alias("c")).filter("c > 1")
-        tokens_left = saved(left.select("token", ((F.col("l") * F.col("l") - F.col("s")) / 2).alias("pairs")))
-        todo, rows = tokens_left.agg(F.sum("pairs"), F.count("*")).first()
+        left = saved(left.select("token", ((F.col("l") * F.col("l") - F.col("s")) / 2).alias("pairs")))
+        todo, rows = left.agg(F.sum("pairs"), F.count("*")).first()
         if not rows:
             break
-        labelled = saved(labelled.join(tokens_left.select("token"), "token"))
-        last = turn > rounds or todo <= max(100_000, 8 * labelled.count())
+        labelled = saved(labelled.join(left.select("token"), "token"))
+        last = turn == rounds or todo <= 4 * labelled.count()
         if last:
             x = labelled.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
             y = labelled.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
             met = x.join(y, "token").filter("a < b and ca <> cb").filter(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
-            few = lists.filter(F.col("l") <= star).groupBy("node").agg(F.count("*").alias("m"))  # pairs of short lists have been judged, or are counted as met
-            met = met.join(few.select(F.col("node").alias("a"), F.col("m").alias("ma")), "a", "left").join(few.select(F.col("node").alias("b"), F.col("m").alias("mb")), "b", "left")
-            pairs = met.filter(F.col("met") + unseen + F.greatest(rest("na"), rest("nb")) >= need)
+            pairs = met.filter(F.col("met") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b")
         else:
-            pairs = ordered(stars(labelled, turn)).distinct()
-        pairs = saved(pairs.select("a", "b").join(links, ["a", "b"], "left_anti"))
-        new = linked(pairs)
-        links = saved(links.union(new))
+            pairs = stars(labelled.filter(F.col("l") > star), turn)
+        pairs = saved(pairs.join(links, ["a", "b"], "left_anti") if turn else pairs)
+        links = saved(links.union(linked(pairs)))
         root = saved(components(links))
         if last:
             break
