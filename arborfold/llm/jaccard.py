@@ -183,9 +183,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
 
     def stars(posts: DataFrame, turn: int) -> DataFrame:
         """Pairs of each member with the pivots of its own and the next smaller size class, in two of its lists."""
+        # a text that has little of its own stands in many of the lists that its group shares, and links with most of it
+        chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1000)) / 1000 if turn else F.lit(0.5)
+        posts = posts.join(posts.groupBy("node").agg(F.count("*").alias("m")), "node").withColumn("h", -F.col("m") * (chance + 0.5))
         first = F.desc("l") if turn == 0 else F.xxhash64("token", "node", F.lit(turn))
         few = posts.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy(first, F.xxhash64("token")))).filter("i <= 2").withColumn("cls", cls)
-        pivots = posts.withColumn("cls", cls).groupBy("token", "cls").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")).alias("p"))
+        pivots = posts.withColumn("cls", cls).groupBy("token", "cls").agg(F.min(F.struct("h", "node", "n")).alias("p"))
         pivots = pivots.select("token", F.explode(F.array("cls", F.col("cls") + 1)).alias("cls"), F.col("p.node").alias("a"), F.col("p.n").alias("na"))
         pairs = few.select("token", "cls", F.col("node").alias("b"), F.col("n").alias("nb")).join(pivots, ["token", "cls"]).filter("a <> b").filter(fits)
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
