@@ -298,7 +298,7 @@ _SUMMED = "sha256('S' || chr(31) || joined)"
 
 @query(f"""WITH RECURSIVE {DOC_ITEMS}, {_packed(0)}, i1 AS (SELECT grp, batch AS ord, {_SUMMED} AS t FROM b0), {_packed(1)}, i2 AS (SELECT grp, batch AS ord, {_SUMMED} AS t FROM b1), {_packed(2)},
 n AS (SELECT grp, (SELECT COUNT(*) FROM b0 WHERE b0.grp = g.grp) AS n0, (SELECT COUNT(*) FROM b1 WHERE b1.grp = g.grp) AS n1, (SELECT COUNT(*) FROM b2 WHERE b2.grp = g.grp) AS n2 FROM (SELECT DISTINCT grp FROM i0) g)
-SELECT grp, CASE WHEN n0 = 1 THEN (SELECT {_SUMMED} FROM b0 WHERE b0.grp = n.grp) WHEN n1 = 1 THEN (SELECT {_SUMMED} FROM b1 WHERE b1.grp = n.grp) WHEN n2 = 1 THEN (SELECT {_SUMMED} FROM b2 WHERE b2.grp = n.grp) END AS text FROM n""")
+SELECT grp, CASE WHEN n0 = 1 THEN (SELECT MIN({_SUMMED}) FROM b0 WHERE b0.grp = n.grp) WHEN n1 = 1 THEN (SELECT MIN({_SUMMED}) FROM b1 WHERE b1.grp = n.grp) WHEN n2 = 1 THEN (SELECT MIN({_SUMMED}) FROM b2 WHERE b2.grp = n.grp) END AS text FROM n""")
 def reduce_fixpoint(spark, sf):
     """SQL unrolls three rounds, enough for 1,000 documents."""
     return reduce.reduce_items(_doc_items(spark, sf), BUDGET, lambda g, joined: Digest().complete(F.lit("S"), joined))
