@@ -14,8 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = pii.sanitised_spans(_table(spark, sf_dir, "documents"))
-    n = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return s.select("doc_id", *n, F.sha2(pii.label(F.col("base")), 256).alias("base_sha256"), pii.label(pii.all_spans(F.col("base"), F.col("added"))).alias("spans"))
+    def count(kind):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return s.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.label(F.col("base")), 256).alias("base_sha256"), pii.label(pii.all_spans(F.col("base"), F.col("added"))).alias("spans"))
 
 
 MIX_WEIGHTS = {("d0",): 3, ("d1",): 2, ("d0", "en"): 2, ("d3", "de"): 4}

@@ -433,3 +433,12 @@ def test_queries_are_registered():
 
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
     assert set(queries.queries()) | {"pipeline"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pii_query(spark):
+    got = queries.op1_pii(spark, "/root/testdata/sf0.001").toPandas()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in got.itertuples():
+        want = base_model(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(re.findall(k, want)) for k in ("email:", "ip:", "card:", "phone:")]
