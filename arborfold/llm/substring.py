@@ -81,8 +81,14 @@ def _parse(w: int):
             h, _, _, first = words(data, off)
             row, start, n, anchor, whole = _factors(h, first, w)
             if len(row):
+                # equal factors in a row, as in a word said over and over, are one row with a count
+                again = (row[1:] == row[:-1]) & (anchor[1:] == anchor[:-1]) & (whole[1:] == whole[:-1]) & (n[1:] == n[:-1])
+                new = np.flatnonzero(np.concatenate([[True], ~again]))
+                times = np.diff(np.append(new, len(row)))
+                row, start, n, anchor, whole = (x[new] for x in (row, start, n, anchor, whole))
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), rows.column("doc_id").take(take), rows.column("th").take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "whole", "doc_id", "th", "start", "n"])
+                ints = [pa.array(x.astype(np.int32)) for x in (start, n * times, times)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), rows.column("doc_id").take(take), rows.column("th").take(take), *ints], names=["anchor", "whole", "doc_id", "th", "start", "n", "times"])
 
     return run
 
@@ -162,10 +168,10 @@ def _same(a: DataFrame, b: DataFrame):
 
 def _lists(docs: DataFrame, w: int) -> tuple[DataFrame, DataFrame]:
     """Documents with shared anchors: (doc_id, th, text, sure, asked); and the windows that repeat at boundaries: (doc_id, th, gone)."""
-    found = docs.mapInArrow(_parse(w), "anchor long, whole long, doc_id long, th int, start int, n int")
-    index = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("c > 1")
+    found = docs.mapInArrow(_parse(w), "anchor long, whole long, doc_id long, th int, start int, n int, times int")
+    index = found.groupBy("anchor").agg(F.sum("times").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("c > 1")
     shared = saved(found.join(index.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"))
-    factor = shared.filter("mixed").groupBy("anchor", "whole").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "start", "n")).alias("one"))
+    factor = shared.filter("mixed").groupBy("anchor", "whole").agg(F.sum("times").alias("c"), F.min(F.struct("doc_id", "th", "start", (F.col("n") / F.col("times")).cast("int").alias("n"))).alias("one"))
     factor = saved(factor)
     again = factor.filter("c > 1").select("anchor", "whole")
     sure = shared.filter("not mixed").select("doc_id", "th", "start", "n").union(shared.filter("mixed").join(again, ["anchor", "whole"], "left_semi").select("doc_id", "th", "start", "n"))
