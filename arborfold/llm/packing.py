@@ -119,7 +119,7 @@ def _pack(path: str, row: int, eos: int | None, pad: int, stretch: int):
 def pack_tokens(docs: DataFrame, tokenizer: str | None = None, row: int = 2048, eos: int | None = None, pad: int = 0, stretch: int = 2_000_000) -> DataFrame:
     """Packed rows of docs (doc_id, text).  eos: by default the vocabulary's last id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_pack(tokenizer or default_path("byte_bpe_50k.json"), row, eos, pad, stretch), SCHEMA)
+    return docs.mapInArrow(_pack(tokenizer or default_path("byte_bpe_50k.tiktoken"), row, eos, pad, stretch), SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

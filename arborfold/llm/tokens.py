@@ -11,6 +11,7 @@ kept; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from arborfold.llm._shared import chunks
 
 BATCH_BYTES = 256 << 10
-KNOWN = 300_000
+KNOWN = 500_000
+# Fixed value: the pattern that splits text before the merges of a .tiktoken file.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -47,7 +50,7 @@ def batches_by_bytes(pieces: Iterable[bytes], size: int = BATCH_BYTES) -> Iterat
 
 
 class Encoder:
-    """A vocabulary file with its library: tokenizers for .json, sentencepiece for .model."""
+    """A vocabulary file with its library: tokenizers for .json, tiktoken for .tiktoken, sentencepiece for .model."""
 
     def __init__(self, path: str, plain_specials: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,6 +68,16 @@ class Encoder:
             # a tokenizer with word ends drops white space; a byte-level one joins a space to the next word
             model = getattr(t.model, "end_of_word_suffix", None)
             self.split = bytes.split if model else split_before_spaces
+        elif path.endswith(".tiktoken"):
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            e = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.vocab = len(ranks) + 1  # the id after the last rank is free for an end of text
+            self._ids = lambda texts: list(map(e.encode_ordinary, texts))
+            self._len = lambda texts: [len(x) for x in self._ids(texts)]
+            self.split = split_before_spaces
         else:
             import sentencepiece
 
