@@ -28,6 +28,7 @@ KNOWN = 500_000
 # Fixed value: the pattern that splits text before the merges of a .tiktoken file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
+_NOT_SINGLE = re.compile(r"\s\s|\A\s|\s\Z")  # where it is absent every space is a single one
 
 
 def default_path(name: str) -> str:
@@ -87,21 +88,24 @@ class Encoder:
             self._len = lambda texts: [len(x) for x in p.encode(texts, num_threads=1)]
             self.split = whole  # its treatment of spaces depends on the text's edges
 
-    def lengths(self, pieces: list[bytes]) -> list[int]:
-        return self._len([p.decode() for p in pieces])
+    def lengths(self, pieces: list[bytes] | list[str]) -> list[int]:
+        return self._len([p if isinstance(p, str) else p.decode() for p in pieces])
 
-    def ids(self, pieces: list[bytes]) -> list[list[int]]:
-        return self._ids([p.decode() for p in pieces])
+    def ids(self, pieces: list[bytes] | list[str]) -> list[list[int]]:
+        return self._ids([p if isinstance(p, str) else p.decode() for p in pieces])
 
 
 def whole(text: bytes) -> list[bytes]:
     return [text] if text else []
 
 
-def split_before_spaces(text: bytes) -> list[bytes]:
+def split_before_spaces(text: bytes) -> list[str]:
     """Pieces that a byte-level pattern with ` ?letters` treats alike alone and in the text."""
-    first, *rest = _SINGLE.split(text.decode()) if text else [""]
-    return [x.encode() for x in [first, *(" " + r for r in rest)] if x]
+    if not text:
+        return []
+    s = text.decode()
+    first, *rest = _SINGLE.split(s) if _NOT_SINGLE.search(s) else s.split(" ")
+    return [first, *map(" ".__add__, rest)]
 
 
 def known_pieces(make: Callable[[list[bytes]], list], split: Callable[[bytes], list[bytes]]) -> Callable[[list[bytes]], Iterator[tuple[list[bytes], dict]]]:
