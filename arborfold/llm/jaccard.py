@@ -10,7 +10,11 @@ a pair must meet there at least T minus what its long lists can still give, or i
 the long lists are probed: both whole shingle sets are compared by binary search.  Any order of shingles gives the
 same links; frequent ones come from a list of at most `frequent` shingles, so what is broadcast has a fixed bound.
 
-Equal sets collapse to one node before anything is paired.  While the lists hold far more pairs than rows, members of
+Lists are pruned before anything is paired: a shingle of one node alone goes, a list of two whose sizes do not fit
+goes, and so does a node's entry in a list if the node stands in fewer lists than any partner there would require.
+Shingles with more than `hot` documents are dealt over several tasks and are not pruned.
+
+Equal sets collapse to one node before anything is paired.  While the lists hold far more pairs than rows, and a turn halves them, members of
 lists of over `star` nodes are first paired with one pivot of each size class, in two lists each; nodes that end in
 one component need no further pair.  All pairs that are left between different components follow, so no link that
 could join two components is lost.
@@ -88,8 +92,11 @@ def _describe(k: int, often: int, piece: int):
     return run
 
 
-def _post(k: int, cut: tuple[int, int], frequent: np.ndarray, rank: np.ndarray):
-    """Rows (token, node) of the short lists; a node once for each stretch of rows."""
+def _post(k: int, cut: tuple[int, int], frequent: np.ndarray, rank: np.ndarray, shares: np.ndarray):
+    """Rows (token, share, node) of the short lists; a node once for each stretch of rows.
+
+    share is 0, or for a frequent token with several shares one of 1 to their number, by the node.
+    """
     a, b = cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +121,15 @@ def _post(k: int, cut: tuple[int, int], frequent: np.ndarray, rank: np.ndarray):
                 nodes.append(node)
                 counts.append(p)
             if tokens:
-                t = np.concatenate(tokens).view(np.int64)
-                which = pa.array(np.repeat(np.arange(len(nodes), dtype=np.int32), counts))
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(nodes, pa.binary()).take(which)], names=["token", "node"])
+                t = np.concatenate(tokens)
+                which = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)
+                share = np.zeros(len(t), np.int32)
+                if len(frequent) and shares.any():
+                    at = np.minimum(np.searchsorted(frequent, t), len(frequent) - 1)
+                    of = np.where(frequent[at] == t, shares[at], 0)
+                    own = np.array([int.from_bytes(x[:4], "big") for x in nodes], np.int64)[which]
+                    share = np.where(of > 0, 1 + own % np.maximum(of, 1), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(share), pa.array(nodes, pa.binary()).take(pa.array(which))], names=["token", "share", "node"])
 
     return run
 
@@ -155,12 +168,12 @@ def _probe(k: int, cut: tuple[int, int]):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), frequent: int = 500_000, often: int = 3, star: int = 16, rounds: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), frequent: int = 500_000, often: int = 3, star: int = 16, rounds: int = 4, hot: int = 20_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
     threshold: the least similarity as a fraction.  frequent: length of the broadcast list of frequent shingles.
-    often: how many documents of one stretch must share a shingle for it to stand on that list.  star, rounds:
-    see above; they change the work, not the links.
+    often: how many documents of one stretch must share a shingle for it to stand on that list.  star, rounds,
+    hot: see above; they change the work, not the links.
     """
     up, down = threshold
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
@@ -171,21 +184,36 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(tokens)
 
-    size = lambda c: F.conv(F.hex(F.substring(c, 9, _SIZE)), 16, 10).cast("long")
-    posts = docs.mapInArrow(_post(k, threshold, tokens[by], rank[by]), "token long, node binary").groupBy("token", "node").agg(F.lit(1).alias("x"))
-    of = posts.groupBy("token").agg(F.count("*").alias("l")).filter("l > 1")
-    lists = saved(posts.join(of, "token").select("token", "node", size("node").alias("n"), "l"))
+    times = top["n"].to_numpy(np.int64)
+    shares = np.where(times > hot, 1 + times // hot, 0)
 
+    size = lambda c: F.conv(F.hex(F.substring(c, 9, _SIZE)), 16, 10).cast("long")
     need = F.ceil((F.col("na") + F.col("nb")) * up / (up + down))
     rest = lambda c: -F.floor(-F.col(c) * up / down) - 1  # noqa: E731  what lies beyond the short lists
     fits = F.least("na", "nb") * down >= F.greatest("na", "nb") * up
+
+    # one exchange: a list, or a share of a hot one, lies in one partition
+    posts = docs.mapInArrow(_post(k, threshold, tokens[by], rank[by], shares[by]), "token long, share int, node binary").repartition("token", "share").groupBy("token", "share", "node").agg(F.lit(1).alias("x")).drop("x")
+    entry, free = Window.partitionBy("token", "share"), F.col("share") > 0
+    lists = posts.withColumn("l", F.count("*").over(entry)).filter((F.col("l") > 1) | free).withColumn("n", size("node"))
+    lists = lists.withColumn("lo", F.min("n").over(entry)).withColumn("hi", F.max("n").over(entry))
+    lists = lists.filter(free | (F.col("l") > 2) | (F.col("lo") * down >= F.col("hi") * up))
+    # what a partner of size x must share at least; concave in x, so the least is at an end of the sizes that fit
+    shared = lambda x: (F.col("n") + x) * up / (up + down) - F.greatest(F.col("n"), x) * up / down
+    least_shared = F.least(shared(F.greatest("lo", F.col("n") * up / down)), shared(F.least("hi", F.col("n") * down / up)))
+    lists = lists.select("node", F.struct("token", F.when(free, F.lit(hot)).otherwise(F.col("l")).cast("long").alias("l"), F.when(free, F.lit(0.0)).otherwise(least_shared - 1e-6).alias("least")).alias("e"))
+    # a node's entries in one row, as many as its text has short lists: labels are joined to nodes, not to entries
+    lists = lists.groupBy("node").agg(F.collect_list("e").alias("e")).withColumn("m", F.size("e"))
+    lists = lists.withColumn("e", F.transform(F.filter("e", lambda x: F.col("m") >= x["least"]), lambda x: F.struct(x["token"].alias("token"), x["l"].alias("l")))).filter(F.size("e") > 0)
+    lists = saved(lists.select("node", size("node").alias("n"), "m", "e"))
+
     cls = F.floor(F.log("n") / float(np.log(down / up)))
 
     def stars(posts: DataFrame, turn: int) -> DataFrame:
         """Pairs of each member with the pivots of its own and the next smaller size class, in two of its lists."""
         # a text that has little of its own stands in many of the lists that its group shares, and links with most of it
         chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1000)) / 1000 if turn else F.lit(0.5)
-        posts = posts.join(posts.groupBy("node").agg(F.count("*").alias("m")), "node").withColumn("h", -F.col("m") * (chance + 0.5))
+        posts = posts.withColumn("h", -F.col("m") * (chance + 0.5))
         first = F.desc("l") if turn == 0 else F.xxhash64("token", "node", F.lit(turn))
         few = posts.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy(first, F.xxhash64("token")))).filter("i <= 2").withColumn("cls", cls)
         pivots = posts.withColumn("cls", cls).groupBy("token", "cls").agg(F.min(F.struct("h", "node", "n")).alias("p"))
@@ -208,15 +236,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
 
     links = docs.sparkSession.createDataFrame([], "a binary, b binary")
     root = components(links)
+    before = None
     for turn in range(rounds + 1):
-        labelled = lists.join(root, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
+        owner = lists.join(root, "node", "left").withColumn("c", F.coalesce("root", "node")) if turn else lists.withColumn("c", F.col("node"))
+        labelled = owner.select("node", "n", "m", "c", F.explode("e").alias("e")).select("e.token", "node", "n", "e.l", "m", "c")
         left = labelled.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("l"), F.sum(F.col("m") * F.col("m")).alias("s"), F.count("*").alias("c")).filter("c > 1")
-        left = saved(left.select("token", ((F.col("l") * F.col("l") - F.col("s")) / 2).alias("pairs")))
-        todo, rows = left.agg(F.sum("pairs"), F.count("*")).first()
+        left = saved(left.select("token", "l", ((F.col("l") * F.col("l") - F.col("s")) / 2).alias("pairs")))
+        todo, rows = left.agg(F.sum("pairs"), F.sum("l")).first()
         if not rows:
             break
-        labelled = saved(labelled.join(left.select("token"), "token"))
-        last = turn == rounds or todo <= 4 * labelled.count()
+        if turn:  # before, every list has several components
+            labelled = saved(labelled.join(left.select("token"), "token"))
+        last = turn == rounds or todo <= 4 * rows or (before is not None and 2 * todo > before)
+        before = todo
         if last:
             x = labelled.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
             y = labelled.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
