@@ -245,8 +245,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
         todo, rows = left.agg(F.sum("pairs"), F.sum("l")).first()
         if not rows:
             break
-        if turn:  # before, every list has several components
-            labelled = saved(labelled.join(left.select("token"), "token"))
         last = turn == rounds or todo <= 4 * rows or (before is not None and 2 * todo > before)
         before = todo
         if last:
@@ -255,7 +253,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
             met = x.join(y, "token").filter("a < b and ca <> cb").filter(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
             pairs = met.filter(F.col("met") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b")
         else:
-            pairs = stars(labelled.filter(F.col("l") > star), turn)
+            long = labelled.filter(F.col("l") > star)
+            pairs = stars(saved(long.join(left.select("token"), "token")) if turn else long, turn)
         pairs = saved(pairs.join(links, ["a", "b"], "left_anti") if turn else pairs)
         links = saved(links.union(linked(pairs)))
         root = saved(components(links))
