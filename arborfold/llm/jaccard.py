@@ -168,13 +168,12 @@ def _probe(k: int, cut: tuple[int, int]):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), frequent: int = 500_000, often: int = 3, star: int = 16, rounds: int = 4, hot: int = 20_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
+def _size(c):
+    return F.conv(F.hex(F.substring(c, 9, _SIZE)), 16, 10).cast("long")
 
-    threshold: the least similarity as a fraction.  frequent: length of the broadcast list of frequent shingles.
-    often: how many documents of one stretch must share a shingle for it to stand on that list.  star, rounds,
-    hot: see above; they change the work, not the links.
-    """
+
+def _grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), frequent: int = 500_000, often: int = 3, star: int = 16, rounds: int = 4, hot: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, node) for each row of docs, and (node, one, c) for each node: its first row and its component."""
     up, down = threshold
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     told = saved(docs.mapInArrow(_describe(k, often, CHUNK_BYTES), "doc_id long, th long, node binary, token long, times long"))
@@ -187,7 +186,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     times = top["n"].to_numpy(np.int64)
     shares = np.where(times > hot, 1 + times // hot, 0)
 
-    size = lambda c: F.conv(F.hex(F.substring(c, 9, _SIZE)), 16, 10).cast("long")
     need = F.ceil((F.col("na") + F.col("nb")) * up / (up + down))
     rest = lambda c: -F.floor(-F.col(c) * up / down) - 1  # noqa: E731  what lies beyond the short lists
     fits = F.least("na", "nb") * down >= F.greatest("na", "nb") * up
@@ -195,7 +193,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     # one exchange: a list, or a share of a hot one, lies in one partition
     posts = docs.mapInArrow(_post(k, threshold, tokens[by], rank[by], shares[by]), "token long, share int, node binary").repartition("token", "share").groupBy("token", "share", "node").agg(F.lit(1).alias("x")).drop("x")
     entry, free = Window.partitionBy("token", "share"), F.col("share") > 0
-    lists = posts.withColumn("l", F.count("*").over(entry)).filter((F.col("l") > 1) | free).withColumn("n", size("node"))
+    lists = posts.withColumn("l", F.count("*").over(entry)).filter((F.col("l") > 1) | free).withColumn("n", _size("node"))
     lists = lists.withColumn("lo", F.min("n").over(entry)).withColumn("hi", F.max("n").over(entry))
     lists = lists.filter(free | (F.col("l") > 2) | (F.col("lo") * down >= F.col("hi") * up))
     # what a partner of size x must share at least; concave in x, so the least is at an end of the sizes that fit
@@ -205,7 +203,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     # a node's entries in one row, as many as its text has short lists: labels are joined to nodes, not to entries
     lists = lists.groupBy("node").agg(F.collect_list("e").alias("e")).withColumn("m", F.size("e"))
     lists = lists.withColumn("e", F.transform(F.filter("e", lambda x: F.col("m") >= x["least"]), lambda x: F.struct(x["token"].alias("token"), x["l"].alias("l")))).filter(F.size("e") > 0)
-    lists = saved(lists.select("node", size("node").alias("n"), "m", "e"))
+    lists = saved(lists.select("node", _size("node").alias("n"), "m", "e"))
 
     cls = F.floor(F.log("n") / float(np.log(down / up)))
 
@@ -222,7 +220,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # the whole text of one document of each node that is in some pair
-    names = each.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.min("doc_id").alias("doc_id"))
+    names = each.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("one"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         inside = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -261,20 +259,46 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
         if last:
             break
 
-    name = names.join(root, "node", "left").withColumn("c", F.coalesce("root", "node"))
-    least = name.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return each, names.join(root, "node", "left").select("node", "one", F.coalesce("root", "node").alias("c"))
+
+
+def jaccard_components(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
+
+    how: threshold, the least similarity as a fraction (4, 5); k, words of a shingle (5); frequent, length of the
+    broadcast list of frequent shingles (500,000); often, how many documents of one stretch must share a shingle for
+    it to stand on that list (3); star (16), rounds (4), hot (20,000): see above; they change the work, not the links.
+    """
+    each, name = _grouped(docs, **how)
+    least = name.groupBy("c").agg(F.min("one.doc_id").alias("component_id"))
     ids = saved(name.join(least, "c").select("node", "component_id"))
     out = each.join(ids, "node", "left")
-    return out.select("doc_id", F.coalesce(size("node"), F.lit(0)).alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.coalesce(_size("node"), F.lit(0)).alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, all columns, with one row for each component: the smallest doc_id's, and of its rows one.
 
-    Rows without shingles link with nothing and all stay.
+    Components with the same smallest doc_id (texts that share one) count as one; a null doc_id is the largest, and
+    texts under it are held apart.  Rows without shingles link with nothing and all stay.  Texts are exchanged once
+    where many rows go, and not at all where few do.
     """
-    ids = jaccard_components(docs.select("doc_id", "text"), **how)
-    stays = saved(ids.filter("n_shingles > 0 and (doc_id = component_id or component_id is null)").select(F.col("doc_id").alias("_id")).distinct())
-    empty = F.coalesce(F.btrim("text", F.lit(" \t\n\x0b\f\r")), F.lit("")) == ""
-    rows = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").filter(~empty)
-    return rows.dropDuplicates(["doc_id"]).union(docs.filter(empty))
+    each, name = _grouped(docs.select("doc_id", "text"), **how)
+    first = name.groupBy("c").agg(F.min("one").alias("first"))
+    named = Window.partitionBy("first.doc_id", F.when(F.col("first.doc_id").isNull(), F.col("c")))
+    first = first.withColumn("first", F.min("first").over(named))
+    stays = saved(name.join(first, "c").select("node", "first"))
+    rows = each.filter("node is not null").groupBy("node", "doc_id", "th").agg(F.count("*").alias("n"))
+    stay = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    # rows that go, and rows that stay but repeat
+    listed = rows.join(stays, "node").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), stay.alias("stay"), "n")
+    listed = saved(listed.filter("not stay or n > 1"))
+    again = listed.filter("stay")
+
+    def match(x: DataFrame):
+        return docs["doc_id"].cast("long").eqNullSafe(x["_id"]) & (F.xxhash64(docs["text"]) == x["_th"])
+
+    out = docs.join(small_or_not(listed), match(listed), "left_anti")
+    if again.isEmpty():
+        return out
+    return out.union(docs.join(small_or_not(again), match(again), "left_semi").dropDuplicates(["doc_id", "text"]))

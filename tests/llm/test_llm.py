@@ -391,6 +391,19 @@ def test_jaccard(spark, rows, monkeypatch):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_one_of_each(spark, monkeypatch, limit):
+    """Which rows stay, with and without broadcasts."""
+    monkeypatch.setattr(_shared, "BROADCAST_ROWS", limit)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    given = [(5, a), (2, a.upper()), (2, a.upper()), (7, b), (7, b), (None, c), (None, c), (None, d), (9, None), (9, None), (8, " "), (None, ""), (3, a + " more"), (None, a)]
+    left = jaccard.one_of_each(table(spark, [(i, t, "en", "s") for i, t in given]))
+    assert left.columns == table(spark, []).columns
+    want = [(2, a.upper()), (7, b), (None, c), (None, d), (9, None), (9, None), (8, " "), (None, "")]
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(want)
+    assert jaccard.one_of_each(empty(spark)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(11)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
