@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Below this many rows a table of short rows may be broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
 

@@ -34,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborfold.llm._shared import CHUNK_BYTES, chunks, components, forget, grams, mix, saved, small_or_not, words
+from arborfold.llm._shared import chunks, components, forget, grams, mix, saved, small_or_not, words
 
 _SIZE = 4  # last bytes of a node: its number of shingles
+_PIECE = 4 << 20  # shingles among which frequent ones are told
 
 
 def _sets(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -176,7 +177,7 @@ def _grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), f
     """(doc_id, th, node) for each row of docs, and (node, one, c) for each node: its first row and its component."""
     up, down = threshold
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    told = saved(docs.mapInArrow(_describe(k, often, CHUNK_BYTES), "doc_id long, th long, node binary, token long, times long"))
+    told = saved(docs.mapInArrow(_describe(k, often, _PIECE), "doc_id long, th long, node binary, token long, times long"))
     each = told.filter("token is null").select("doc_id", "th", "node")
     top = told.filter("token is not null").groupBy("token").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "token").limit(frequent).toPandas()
     rank = np.arange(len(top), 0, -1)  # the most frequent come last of all
