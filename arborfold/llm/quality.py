@@ -10,10 +10,13 @@ The highest order uses counts, lower ones the number of different left neighbour
 and D3+ of Chen and Goodman, from its own counts of counts, and gives what it discounts to the order below; the lowest
 is mixed with the uniform distribution.
 
-A document's score is bits a symbol, drawn towards its language's mean by `prior` symbols, so that a few odd words in
-a short text decide nothing.  A language's limit is the `quantile` of the scores of its trusted documents, plus
-`margin` times the distance from their mean; a language with under `least` trusted documents has the limit of all
-together.  A document over the limit is rejected.
+The documents are dealt in two halves by a hash of the doc_id, and each half is scored by the model of the trusted
+texts of the other (by that of all if one half has none): no document is scored by a model that it was counted in.
+
+A document has two scores: bits a symbol, and the share of symbols with more than `RARE` bits, which a few toxic words in
+a usual text raise.  Both are drawn towards their language's mean by `prior` symbols, so that a few odd words in a short
+text decide nothing.  A language's limits are the `quantile` of the scores of its trusted documents; a language with
+under `least` trusted documents has the limits of all together.  A document over either limit is rejected.
 
 Defined cases: null or empty text has 0 symbols and the mean score: it is kept; null lang is a language; without any
 trusted document all are kept; a label row that repeats counts once, a document with contradicting labels is not
@@ -26,12 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborfold.llm._shared import chunks, saved, small_or_not
 
 V = 128
+#: A symbol with more bits than this is one that trusted text hardly ever has in its place.
+RARE = 12.0
+#: Steps of a score of one; quantiles are exact in them.
+STEPS = {"bits": 10_000, "rare": 200_000}
 
 
 def _classes() -> np.ndarray:
@@ -62,13 +69,17 @@ def trigram_codes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(V**3, np.int64)
-    for _, data, off in chunks(batches, size=1 << 20):
-        total += np.bincount(trigram_codes(data, off), minlength=V**3)
-    code = np.flatnonzero(total)
-    for i in range(0, len(code), 50_000):
-        part = code[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["code", "n"])
+    total = np.zeros((2, V**3), np.int64)
+    for rows, data, off in chunks(batches, size=1 << 20):
+        half = np.repeat(rows.column("half").to_numpy(), np.diff(off))
+        code = trigram_codes(data, off)
+        for h in (0, 1):
+            total[h] += np.bincount(code[half == h], minlength=V**3)
+    for h in (0, 1):
+        code = np.flatnonzero(total[h])
+        for i in range(0, len(code), 50_000):
+            part = code[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), h, np.int32)), pa.array(part.astype(np.int32)), pa.array(total[h][part])], names=["half", "code", "n"])
 
 
 def _discounts(c: np.ndarray) -> np.ndarray:
@@ -110,30 +121,40 @@ def kneser_ney(code: np.ndarray, n: np.ndarray, v: int = V) -> np.ndarray:
     return out.reshape(-1)
 
 
+def half_of(doc_id) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(2)).cast("int")
+
+
 def train(trusted: DataFrame) -> np.ndarray:
-    """The model of the texts of trusted (text)."""
-    counts = trusted.select("text").mapInArrow(_count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    rows = counts.toArrow()  # at most 128 ** 3
-    return kneser_ney(rows.column("code").to_numpy(), rows.column("n").to_numpy())
+    """For each half the model of the texts of trusted (half, text) in the other."""
+    counts = trusted.select("half", "text").mapInArrow(_count, "half int, code int, n long").groupBy("half", "code").agg(F.sum("n").alias("n"))
+    rows = counts.toArrow()  # at most 2 * 128 ** 3
+    half, code, n = (rows.column(c).to_numpy() for c in ("half", "code", "n"))
+    if len(np.unique(half)) < 2:
+        return np.tile(kneser_ney(code, n), (2, 1))
+    return np.stack([kneser_ney(code[half == 1 - h], n[half == 1 - h]) for h in (0, 1)])
 
 
-def _bits(model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    run = np.concatenate([[0.0], np.cumsum(model[trigram_codes(data, off)], dtype=np.float64)])
-    return run[off[1:]] - run[off[:-1]]
+def _bits(model, half: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each text, and how many of its symbols are rare."""
+    b = model[np.repeat(half, np.diff(off)), trigram_codes(data, off)]
+    bits, rare = (np.concatenate([[0], np.cumsum(x, dtype=t)]) for x, t in ((b, np.float64), (b > RARE, np.int64)))
+    return bits[off[1:]] - bits[off[:-1]], rare[off[1:]] - rare[off[:-1]]
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in chunks(batches, size=1 << 20):
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), pa.array(np.diff(off)), pa.array(_bits(model.value, data, off))], names=["doc_id", "lang", "n_symbols", "bits"])
+            bits, rare = _bits(model.value, rows.column("half").to_numpy(), data, off)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), pa.array(np.diff(off)), pa.array(bits), pa.array(rare)], names=["doc_id", "lang", "n_symbols", "bits", "rare"])
 
     return run
 
 
 def scores(docs: DataFrame, model) -> DataFrame:
-    """(doc_id, lang, n_symbols, bits); model: a broadcast of train()'s result."""
+    """(doc_id, lang, n_symbols, bits, rare); model: a broadcast of train()'s result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
-    return docs.mapInArrow(_score(model), "doc_id long, lang string, n_symbols long, bits double")
+    return docs.withColumn("half", half_of("doc_id")).mapInArrow(_score(model), "doc_id long, lang string, n_symbols long, bits double, rare long")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -142,59 +163,63 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return by.agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).filter("q = 1 and t = 0").select("doc_id")
 
 
-def limits(scored: DataFrame, trusted: DataFrame, quantile: float, margin: float, prior: int, least: int) -> DataFrame:
-    """(lang, mean, limit) for each language of scored; the rest of the documents' languages have those of lang null."""
-    own = scored.join(trusted, "doc_id").filter("n_symbols > 0")
-    mean = own.groupBy("lang").agg((F.sum("bits") / F.sum("n_symbols")).alias("mean"), F.count("*").alias("n")).filter(F.col("n") >= least)
-    every = own.agg((F.sum("bits") / F.sum("n_symbols")).alias("mean")).first()["mean"]
-    if every is None:
-        return scored.sparkSession.createDataFrame([(None, 0.0, float("inf"))], "lang string, mean double, limit double")
-    mean = saved(mean.select("lang", "mean"))
-    own = own.join(small_or_not(mean), "lang", "left").withColumn("lang", F.when(F.col("mean").isNotNull(), F.col("lang"))).withColumn("mean", F.coalesce("mean", F.lit(every)))
-    score = (F.col("bits") + prior * F.col("mean")) / (F.col("n_symbols") + prior)
-    both = own.select("lang", "mean", score.alias("s"))
-    all_langs = own.select(F.lit(None).cast("string").alias("lang"), F.lit(every).alias("mean"), ((F.col("bits") + prior * every) / (F.col("n_symbols") + prior)).alias("s"))
-    # scores by steps of 1 / 10,000 bit: so few that their order is exact, whatever order tasks end in
-    steps = both.filter("lang is not null").union(all_langs).groupBy("lang", F.floor(F.col("s") * 10_000).alias("b")).agg(F.count("*").alias("n"), F.min("mean").alias("mean"))
-    by = Window.partitionBy("lang")
+def limits(scored: DataFrame, trusted: DataFrame, quantile: float, prior: int, least: int) -> DataFrame:
+    """(lang, mean_bits, top_bits, mean_rare, top_rare) for each language of scored; the rest of the documents' languages have those of lang null."""
+    what = lambda k: F.struct(F.lit(k).alias("what"), F.lit(STEPS[k]).alias("step"), F.col(k).cast("double").alias("x"))
+    own = scored.join(trusted, "doc_id").filter("n_symbols > 0").select("lang", "n_symbols", F.explode(F.array(*map(what, STEPS))).alias("w")).select("lang", "n_symbols", "w.*")
+    own = own.union(own.withColumn("lang", F.lit(None).cast("string")))
+    mean = own.groupBy("what", "lang").agg((F.sum("x") / F.sum("n_symbols")).alias("mean"), F.count("*").alias("n")).filter((F.col("n") >= least) | F.col("lang").isNull())
+    mean = saved(mean.select(F.col("what").alias("what_"), F.col("lang").alias("lang_"), "mean"))
+    if mean.isEmpty():
+        return scored.sparkSession.createDataFrame([(None, 0.0, float("inf"), 0.0, float("inf"))], "lang string, mean_bits double, top_bits double, mean_rare double, top_rare double")
+    own = own.join(small_or_not(mean), (F.col("what") == F.col("what_")) & F.col("lang").eqNullSafe(F.col("lang_")))
+    score = (F.col("x") + prior * F.col("mean")) / (F.col("n_symbols") + prior)
+    # scores by steps: so few that their order is exact, whatever order tasks end in
+    steps = own.groupBy("what", "step", "lang", F.floor(score * F.col("step")).alias("b")).agg(F.count("*").alias("n"), F.min("mean").alias("mean"))
+    by = Window.partitionBy("what", "lang")
     upto = steps.withColumn("upto", F.sum("n").over(by.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(by))
-    q = upto.filter(F.col("upto") >= quantile * F.col("all")).groupBy("lang").agg(F.min("mean").alias("mean"), ((F.min("b") + 1) / 10_000).alias("q"))
-    return saved(q.select("lang", "mean", (F.col("q") + margin * (F.col("q") - F.col("mean"))).alias("limit")))
+    q = upto.filter(F.col("upto") >= quantile * F.col("all")).groupBy("what", "lang").agg(F.min("mean").alias("mean"), F.min((F.col("b") + 1) / F.col("step")).alias("top"))
+    wide = [F.max(F.when(F.col("what") == k, F.col(c))).alias(f"{c}_{k}") for k in STEPS for c in ("mean", "top")]
+    return saved(q.groupBy("lang").agg(*wide))
 
 
 def _judged(scored: DataFrame, limit: DataFrame, prior: int) -> DataFrame:
     rest = limit.filter("lang is null").first()
     out = scored.join(small_or_not(limit.filter("lang is not null")), "lang", "left")
-    mean, top = F.coalesce("mean", F.lit(rest["mean"])), F.coalesce("limit", F.lit(rest["limit"]))
-    score = (F.col("bits") + prior * mean) / (F.col("n_symbols") + prior)
-    return out.withColumn("score", score).withColumn("keep", (score <= top) | (F.col("n_symbols") == 0))
+    score = {k: (F.col(k) + prior * F.coalesce(f"mean_{k}", F.lit(rest[f"mean_{k}"]))) / (F.col("n_symbols") + prior) for k in STEPS}
+    under = [score[k] <= F.coalesce(f"top_{k}", F.lit(rest[f"top_{k}"])) for k in STEPS]
+    return out.withColumn("score", score["bits"]).withColumn("keep", (under[0] & under[1]) | (F.col("n_symbols") == 0))
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, quantile: float, margin: float, prior: int, least: int):
+def _fitted(docs: DataFrame, labels: DataFrame, quantile: float, prior: int, least: int):
     spark = docs.sparkSession
     trusted = saved(trusted_ids(labels))
-    model = spark.sparkContext.broadcast(train(docs.select("doc_id", "text").join(small_or_not(trusted), "doc_id")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_or_not(trusted), "doc_id")
+    model = spark.sparkContext.broadcast(train(texts.withColumn("half", half_of("doc_id"))))
     scored = saved(scores(docs, model))
-    return model, scored, limits(scored, trusted, quantile, margin, prior, least)
+    return model, scored, limits(scored, trusted, quantile, prior, least)
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 0.5, prior: int = 200, least: int = 50) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, prior: int = 200, least: int = 50) -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, keep) for each row of docs (doc_id, lang, text)."""
-    _, scored, limit = _fitted(docs, labels, quantile, margin, prior, least)
+    _, scored, limit = _fitted(docs, labels, quantile, prior, least)
     return _judged(scored, limit, prior).select("doc_id", "lang", "n_symbols", F.pow(F.lit(2.0), "score").alias("perplexity"), "keep")
 
 
-def _filter(model, by_lang: dict[str | None, tuple[float, float]], prior: int):
+def _filter(model, by_lang: dict[str | None, tuple[float, float, float, float]], prior: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in chunks(batches, size=1 << 20):
-            bits, n = _bits(model.value, data, off), np.diff(off)
-            mean, top = np.array([by_lang.get(x or "", by_lang[None]) for x in rows.column("lang").to_pylist()]).T
-            yield rows.filter(pa.array(((bits + prior * mean) / (n + prior) <= top) | (n == 0)))
+            bits, rare = _bits(model.value, rows.column("half_").to_numpy(), data, off)
+            n = np.diff(off)
+            mean, top, mean_rare, top_rare = np.array([by_lang.get(x or "", by_lang[None]) for x in rows.column("lang").to_pylist()]).T
+            under = ((bits + prior * mean) / (n + prior) <= top) & ((rare + prior * mean_rare) / (n + prior) <= top_rare)
+            yield rows.filter(pa.array(under | (n == 0))).drop_columns(["half_"])
 
     return run
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 0.5, prior: int = 200, least: int = 50) -> DataFrame:
-    """The rows of docs, all columns, that are kept.  Languages with `least` trusted documents come to the driver with two numbers each."""
-    model, _, limit = _fitted(docs, labels, quantile, margin, prior, least)
-    return docs.mapInArrow(_filter(model, {r.lang: (r.mean, r.limit) for r in limit.collect()}, prior), docs.schema)
+def good_documents(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, prior: int = 200, least: int = 50) -> DataFrame:
+    """The rows of docs, all columns, that are kept.  Languages with `least` trusted documents come to the driver with four numbers each."""
+    model, _, limit = _fitted(docs, labels, quantile, prior, least)
+    by_lang = {r.lang: (r.mean_bits, r.top_bits, r.mean_rare, r.top_rare) for r in limit.collect()}
+    return docs.withColumn("half_", half_of(F.col("doc_id").cast("long"))).mapInArrow(_filter(model, by_lang, prior), docs.schema)

@@ -351,6 +351,19 @@ def test_quality(spark):
     assert quality.quality(empty(spark), labels).count() == 0
 
 
+def test_quality_limit_is_the_held_out_quantile(spark):
+    """A few words of another kind in a usual text are over the limit, and about one trusted document in a hundred is."""
+    rng = random.Random(12)
+    usual = ["the", "rain", "falls", "over", "green", "hills", "and", "rivers", "at", "noon", "in", "the", "east", "with", "light", "wind"]
+    good = [" ".join(rng.choice(usual) for _ in range(rng.randrange(60, 200))) for _ in range(600)]
+    mixed = [" ".join(rng.choice(usual) if rng.random() > 0.06 else rng.choice(["zzkwx", "qpjzk", "xxvqk"]) for _ in range(150)) for _ in range(60)]
+    docs = table(spark, [(i, t, "en", "s") for i, t in enumerate(good + mixed)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.keep for r in quality.quality(docs, labels).collect()}
+    assert not any(got[i] for i in range(600, 660))
+    assert 1 <= sum(not got[i] for i in range(600)) <= 12
+
+
 # ---- 10
 
 
