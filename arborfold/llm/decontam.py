@@ -5,13 +5,17 @@ without outer punctuation.  Windows of `window` such tokens with at least `liter
 hash-joined: the windows of the items, in blocks of at most `index` windows (a fixed bound on what is sent to the
 executors, with one pass over the documents for each block), against every window of every document.
 
+Windows with fewer such words are joined too, but by their lower-cased words and values as they stand, signs between
+them included; so is an item's first window, whose first word is a name or not by what stands before it.  So verbatim
+copies are found whatever an item is made of.  Each character of a script without spaces is a token of its own.
+
 Joined windows of one item at one distance form an alignment.  Its slots must be consistent: a value of the item
 stands for one value in the document and the other way round, but for a fifth of the slots at most.  So a question
 asked again with other numbers is found, and a table of numbers that happens to fit is not.  A document is
 contaminated by an item if consistent alignments cover `covered` of the item's tokens.
 
-Defined cases: null or empty text matches nothing; items shorter than a window make one window of their own length, if
-it has enough words, and else match nothing; repeated rows are each reported; null doc_id or item_id is kept; empty
+Defined cases: null or empty text matches nothing; items shorter than a window make one window of their own length, be it
+one word, which each document with that word then holds; an item of signs only matches nothing; repeated rows are each reported; null doc_id or item_id is kept; empty
 tables give no rows; other columns are ignored.
 """
 
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborfold.llm._shared import chunks, grams
+from arborfold.llm._shared import chunks, grams, mix
 
 # Unit words.
 UNITS = frozenset(
@@ -34,6 +38,8 @@ UNITS = frozenset(
     "second seconds sec s minute minutes min hour hours hr hrs h day days week weeks month months year years percent % dollar dollars cent cents euro euros usd eur mph kmh km/h hz khz mhz ghz kb mb gb tb".split()
 )
 _ATTACHED = re.compile(r"(\d)(%|[a-zA-Z]{1,5}\b)")
+#: Kana, Han, Thai, Lao, Myanmar and Khmer.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _OUTER = ".,;:!?\"'()[]{}<>*#$&%|~`_-–—…«»“”‘’/\\"
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 
@@ -52,6 +58,7 @@ class Words(dict):
         self.ends: list[bool] = []
         self.kind: list[int] = []  # at a sentence's start a name is a literal
         self.value: list[str] = []
+        self.exact: list[int] = []  # of the word without outer signs, or of the sign
 
     def __missing__(self, raw: str) -> int:
         core = raw.strip(_OUTER) if raw != "%" else "%"
@@ -63,6 +70,7 @@ class Words(dict):
         self.ends.append(raw[-1:] in ".!?:")
         self.kind.append(kind if core else -1)
         self.value.append(lower)
+        self.exact.append(own if core else hash_word(raw))
         n = self[raw] = len(self)
         return n
 
@@ -74,15 +82,20 @@ def hash_word(word: str) -> int:
     return xxhash.xxh64_intdigest(word) | 8
 
 
-def canonical(texts: list[str], known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all texts together: token hashes, kinds, raw word numbers, and each text's first token (one more at the end)."""
+def _split(text: str) -> list[str]:
+    text = _ATTACHED.sub(_apart, text)
+    return (text if text.isascii() else _UNSPACED.sub(r" \g<0> ", text)).split()
+
+
+def canonical(texts: list[str], known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all texts together: token hashes, kinds, raw word numbers, each text's first token (one more at the end), and exact hashes without and with the signs before a token."""
     if len(known) > 300_000:
         known.clear()
-        for x in (known.start, known.mid, known.ends, known.kind, known.value):
+        for x in (known.start, known.mid, known.ends, known.kind, known.value, known.exact):
             x.clear()
     ids, lengths = [], []
     for t in texts:
-        w = list(map(known.__getitem__, (_ATTACHED.sub(_apart, t) if t else "").split()))
+        w = list(map(known.__getitem__, _split(t or "")))
         ids += w
         lengths.append(len(w))
     ids = np.array(ids, np.int64)
@@ -96,7 +109,17 @@ def canonical(texts: list[str], known: Words) -> tuple[np.ndarray, np.ndarray, n
     h = np.where(opens, start[ids], mid[ids]) if len(ids) else np.zeros(0, np.uint64)
     k = np.where(opens & (k == NAME), LITERAL, k)
     keep = k >= 0
-    return h[keep], k[keep], ids[keep], np.concatenate([[0], np.cumsum(keep)])[first]
+    exact = np.array(known.exact, np.uint64)[ids] if len(ids) else np.zeros(0, np.uint64)
+    signs = np.diff(np.cumsum(np.where(keep, np.uint64(0), mix(exact)))[keep], prepend=np.uint64(0))
+    exact = exact[keep]
+    return h[keep], k[keep], ids[keep], np.concatenate([[0], np.cumsum(keep)])[first], exact, exact + mix(signs)
+
+
+def exact_grams(exact: np.ndarray, signed: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` tokens from each position as they stand; signs before the first are not of it."""
+    n = max(0, len(exact) - size + 1)
+    rest = grams(signed[1:], size - 1)[:n] if size > 1 else np.uint64(0)
+    return mix(exact[:n] + mix(rest + np.full(n, size, np.uint64)))
 
 
 class Index:
@@ -104,22 +127,25 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str]], window: int, literals: int) -> None:
         self.window, self.items = window, []
-        by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        by: dict[tuple[int, bool], list[tuple[int, int, int]]] = defaultdict(list)
         known = Words()
         for item_id, text in items:
-            h, k, ids, _ = canonical([text or ""], known)
+            h, k, ids, _, exact, signed = canonical([text or ""], known)
             values = [known.value[i] for i in ids.tolist()]
             size = min(window, len(h))
-            if size >= literals:
+            if size:
                 words = np.concatenate([[0], np.cumsum(k == LITERAL)])
-                for j, g in enumerate(grams(h, size).tolist()):
-                    if words[j + size] - words[j] >= literals:
-                        by[size].append((g, len(self.items), j))
+                for j, (g, e) in enumerate(zip(grams(h, size).tolist(), exact_grams(exact, signed, size).tolist(), strict=True)):
+                    rich = words[j + size] - words[j] >= literals
+                    if rich:
+                        by[size, False].append((g, len(self.items), j))
+                    if not rich or j == 0:
+                        by[size, True].append((e, len(self.items), j))
             self.items.append((item_id, k.tolist(), values))
         self.by = {}
-        for size, rows in by.items():
+        for key, rows in by.items():
             rows.sort()
-            self.by[size] = (np.array([r[0] for r in rows], np.uint64), [r[1:] for r in rows])
+            self.by[key] = (np.array([r[0] for r in rows], np.uint64), [r[1:] for r in rows])
 
     @property
     def windows(self) -> int:
@@ -127,10 +153,10 @@ class Index:
 
     def matches(self, texts: list[str], known: Words, covered: float) -> Iterator[tuple[int, int | None, float, int, int]]:
         """(text's number, item_id, share covered, first and last token in the text)."""
-        h, kind, ids, first = canonical(texts, known)
-        met: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
-        for size, (hashes, rows) in self.by.items():
-            g = grams(h, size)
+        h, kind, ids, first, exact, signed = canonical(texts, known)
+        met: dict[tuple[int, int, int], list[tuple[int, int, bool]]] = defaultdict(list)
+        for (size, as_is), (hashes, rows) in self.by.items():
+            g = exact_grams(exact, signed, size) if as_is else grams(h, size)
             at = np.searchsorted(hashes, g)
             for p in np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == g).tolist():
                 doc = int(np.searchsorted(first, p, "right")) - 1
@@ -139,14 +165,17 @@ class Index:
                 a = int(at[p])
                 while a < len(hashes) and hashes[a] == g[p]:
                     item, j = rows[a]
-                    met[doc, item, p - j].append((j, size))
+                    met[doc, item, p - j].append((j, size, as_is))
                     a += 1
         share: dict[tuple[int, int], list] = {}
         for (doc, item, shift), spans in met.items():
             item_id, item_kind, values = self.items[item]
-            places = sorted({j + x for j, size in spans for x in range(size)})
-            slots = [(values[j], known.value[ids[shift + j]]) for j in places if item_kind[j] > 0]
-            if not consistent(slots):
+            # windows as they stand count by themselves if the rest contradicts them, and the other way round
+            for part in (spans, [x for x in spans if x[2]], [x for x in spans if not x[2]]):
+                places = sorted({j + x for j, size, _ in part for x in range(size)})
+                if places and consistent([(values[j], known.value[ids[shift + j]]) for j in places if item_kind[j] > 0]):
+                    break
+            else:
                 continue
             s = share.setdefault((doc, item), [set(), shift + places[0], shift + places[-1]])
             s[0].update(places)

@@ -283,6 +283,20 @@ def test_decontamination(spark):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0 and decontam.contaminated(empty(spark), bench).count() == 0
 
 
+def test_decontamination_finds_verbatim_copies_of_any_item(spark):
+    items = ["12 + 7 = 19, 20 - 4 = 16, 3 * 5 = 15", "The Old Man And The Sea By Ernest Hemingway Of Oak Park", "WHAT IS THE CAPITAL CITY OF NEW ZEALAND TODAY", "Name it", "今天天气很好我们一起去公园散步吧", "日本の首都", "Paris is the capital of France", "7 + 5"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(i, f"some words before it {x} and others after", "en", "s") for i, x in enumerate(items)]
+    docs[4] = (4, "他说" + items[4] + "然后走了", "zh", "s")
+    docs[5] = (5, "問い" + items[5] + "は", "ja", "s")
+    docs += [(10, "12 - 7 = 19, 20 + 4 = 16, 3 / 5 = 15", "en", "s"), (11, "7 - 5 and 5 + 7 and 7 5", "en", "s"), (12, "The New Boy And The Lake By Someone Else Of Elm Street", "en", "s"), (13, "今天他们没有去公园", "zh", "s")]
+    df = table(spark, docs)
+    for index in (500_000, 3):
+        got = Counter((r.doc_id, r.item_id) for r in decontam.contaminated(df, bench, index=index).collect())
+        assert got == Counter({(i, i): 1 for i in range(len(items))})
+    assert sorted(r.doc_id for r in decontam.decontaminated(df, bench).collect()) == [10, 11, 12, 13]
+
+
 # ---- 9
 
 
