@@ -7,14 +7,14 @@ engine gives the matches and, by splitting at them, the text between; running su
 in code points.  The patterns below have possessive loops and look-behinds that leave the matches as they are but
 keep long runs from being scanned again from each character.
 
-The method: a protected entity is a match (its text).  The terms in its context, `context` characters on each side,
-co-occur with it.  Over the corpus, with n word occurrences,
+The method: a protected entity is a match (its text).  The terms of a document outside its entities co-occur with each
+of them, once a document.  Over the corpus, with n documents and c counting documents,
 
     PMI(e; t) = log2( c(e, t) n / (c(e) c(t)) ),    IC(e) = log2( n / c(e) ),
 
 and t discloses the share PMI / IC of the entity's information: 1 if t never occurs without it.  A term seen with
-the entity at least `evidence` times whose share is `generalise` or more is replaced in these contexts by its class;
-from `remove` on it is removed.  Both are spans of kind term (or gone).
+an entity in at least `evidence` documents whose share is `generalise` or more is replaced by its class wherever it
+stands outside entities, in all documents; from `remove` on it is removed.  Both are spans of kind term (or gone).
 
 Defined cases: null text counts as empty and gives zeros and the digest of the empty string; repeated rows are
 occurrences like any others and each is returned; null doc_id is kept; ties in a span's start are ordered by kind;
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborfold.llm._shared import saved
+from arborfold.llm._shared import BROADCAST_ROWS, saved, small_or_not
 
 #: Kinds in their order, with patterns equal in matches to the plain ones of the contract.
 KINDS = {
@@ -93,56 +93,63 @@ def base_spans(docs: DataFrame) -> DataFrame:
 _WORD = r"[\p{L}\p{N}_]+"
 
 
-def _contexts(found: DataFrame, width: int) -> DataFrame:
-    """A row for each term near an entity: (doc_id, th, entity, term, start, end)."""
-    e = found.filter(F.size("base") > 0).select("doc_id", "th", "text", F.explode("base").alias("e"))
-    left_from = F.greatest(F.col("e.start") - width, F.lit(0))
-    e = e.select("doc_id", "th", F.col("e.match").alias("entity"), F.explode(F.array(
-        F.struct(left_from.alias("at"), F.substring("text", (left_from + 1).cast("int"), (F.col("e.start") - left_from).cast("int")).alias("near"), (left_from > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-        F.struct(F.col("e.end").alias("at"), F.substring("text", (F.col("e.end") + 1).cast("int"), F.lit(width)).alias("near"), F.lit(False).alias("cut_left"), F.lit(True).alias("cut_right")),
-    )).alias("c"))
-    words, gaps = F.regexp_extract_all("c.near", F.lit(_WORD), F.lit(0)), F.split(F.col("c.near"), _WORD, -1)
-    n = F.size(words)
-    e = e.select("doc_id", "th", "entity", "c", words.alias("w"), F.zip_with(F.slice(gaps, F.lit(1), n), words, lambda a, b: F.length(a) + F.length(b)).alias("l"), gaps.alias("g"))
-    e = e.select("doc_id", "th", "entity", "c", "g", F.size("w").alias("n"), F.posexplode(F.transform("w", lambda x, i: F.struct(x.alias("word"), F.aggregate(F.slice("l", F.lit(1), i + 1), F.lit(0), lambda s, v: s + v).alias("end")))).alias("i", "x"))
-    # a word that the window's outer edge may have cut is left out
-    edge_left, edge_right = F.col("c.cut_left") & (F.col("i") == 0) & (F.element_at("g", 1) == ""), F.col("c.cut_right") & (F.col("i") == F.col("n") - 1) & (F.element_at("g", -1) == "")
-    e = e.filter(~edge_left & ~edge_right & (F.length("x.word") > 1))
-    end = F.col("c.at") + F.col("x.end")
-    return e.select("doc_id", "th", "entity", F.lower("x.word").alias("term"), (end - F.length("x.word")).cast("long").alias("start"), end.cast("long").alias("end"))
-
-
-def disclosing_terms(docs: DataFrame, found: DataFrame, context: int, evidence: int, generalise: float, remove: float) -> DataFrame:
-    """(doc_id, th, spans): array of (start, end, kind, term) that the method adds."""
-    near = _contexts(found, context)
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("c_et")).filter(F.col("c_et") >= evidence)
-    pairs = saved(pairs)
-    counts = docs.select(F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1)).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
-    counts = counts.withColumn("all", F.lit(1))
-    total = counts.groupBy().agg(F.sum("c_t").alias("n"))
-    wanted = pairs.select("term").distinct()
-    c_t = saved(counts.drop("all").join(wanted, "term", "left_semi").withColumn("is_total", F.lit(False)).union(total.select(F.lit(None).cast("string"), "n", F.lit(True))))
-    n = c_t.filter("is_total").first()["c_t"] or 1
-    c_e = found.select(F.explode("base.match").alias("entity")).groupBy("entity").agg(F.count("*").alias("c_e"))
-    pmi = F.log2(F.col("c_et") * float(n) / (F.col("c_e") * F.greatest("c_t", "c_et")))
-    judged = pairs.join(c_t.filter("not is_total"), "term").join(c_e, "entity").withColumn("share", pmi / F.greatest(F.log2(float(n) / F.col("c_e")), F.lit(1e-9)))
-    judged = saved(judged.filter(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("gone")))
-    spans = near.join(judged, ["entity", "term"]).groupBy("doc_id", "th", "start", "end", "term").agg(F.max("gone").alias("gone"))
-    return spans.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", F.when(F.col("gone"), 5).otherwise(4).alias("rank"), "end", F.when(F.col("gone"), "gone").otherwise("term").alias("kind"), F.col("term").alias("match")))).alias("added"))
-
-
-def sanitised_spans(docs: DataFrame, context: int = 40, evidence: int = 3, generalise: float = 0.9, remove: float = 0.999) -> DataFrame:
+def _terms(text) -> Column:
+    """The different words of two characters or more, lower-cased."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1), F.lower))
+
+
+def _outside(text: Column, base: Column) -> Column:
+    """The text between the entities."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    cut = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    step = lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["parts"], F.array(cut(s["at"], x["start"]))).alias("parts"))
+    return F.aggregate(base, start, step, lambda s: F.array_join(F.concat(s["parts"], F.array(cut(s["at"], F.length(text).cast("long")))), " "))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, evidence: int, generalise: float, remove: float) -> DataFrame:
+    """(term, gone) of the terms that the method replaces or removes."""
+    e = found.select("text", "base", F.explode(F.array_distinct("base.match")).alias("entity"))
+    # no pair is seen more often than its entity
+    c_e = saved(e.groupBy("entity").agg(F.count("*").alias("c_e")).filter(F.col("c_e") >= evidence))
+    pairs = e.join(small_or_not(c_e.select("entity")), "entity").select("entity", F.explode(_terms(_outside(F.col("text"), F.col("base")))).alias("term"))
+    pairs = saved(pairs.groupBy("entity", "term").agg(F.count("*").alias("c_et")).filter(F.col("c_et") >= evidence))
+    wanted = saved(pairs.select("term").distinct())
+    words = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
+    if (n_wanted := wanted.count()) <= BROADCAST_ROWS:
+        c_t = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("c_t"))
+    else:  # summed within tasks first, so that no word is in many rows of the join
+        c_t = words.groupBy("term").agg(F.count("*").alias("c_t")).join(wanted, "term", "left_semi")
+    n = float(docs.count() if n_wanted else 1)
+    pmi = F.log2(F.col("c_et") * n / (F.col("c_e") * F.col("c_t")))
+    judged = pairs.join(c_t, "term").join(c_e, "entity").withColumn("share", pmi / F.greatest(F.log2(n / F.col("c_e")), F.lit(1e-9)))
+    return saved(judged.filter(F.col("share") >= generalise).groupBy("term").agg(F.max(F.col("share") >= remove).alias("gone")))
+
+
+def _occurrences(text: Column, base: Column, gone: Column) -> Column:
+    """Spans of the words outside base that are keys of the map gone."""
+    words, gaps = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.split(text, _WORD, -1)
+    w = F.zip_with(F.slice(gaps, F.lit(1), F.size(words)), words, lambda g, x: F.struct(F.length(g).cast("long").alias("lead"), x.alias("word")))
+    at = running(F.transform(w, lambda x: x["lead"] + F.length(x["word"])))
+    spans = F.zip_with(w, at, lambda x, a: F.struct((a + x["lead"]).alias("start"), (a + x["lead"] + F.length(x["word"])).alias("end"), F.lower(x["word"]).alias("term")))
+    spans = F.filter(spans, lambda x: F.map_contains_key(gone, x["term"]) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
+    kind = lambda x: gone[x["term"]]
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.when(kind(x), 5).otherwise(4).alias("rank"), x["end"].alias("end"), F.when(kind(x), "gone").otherwise("term").alias("kind"), x["term"].alias("match")))
+
+
+def sanitised_spans(docs: DataFrame, evidence: int = 3, generalise: float = 0.9, remove: float = 0.999) -> DataFrame:
     """docs (doc_id, text) with base and added: arrays of (start, rank, end, kind, match)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    found = base_spans(docs)
-    # the texts with entities are few and are used three times
-    some = saved(found.filter(F.size("base") > 0))
-    added = disclosing_terms(docs, some, context, evidence, generalise, remove)
-    kinds = some.select("doc_id", "th", "base").dropDuplicates(["doc_id", "th"]).join(added.withColumnsRenamed({"doc_id": "i", "th": "h"}), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")), "left").select("doc_id", "th", "base", "added")
-    kinds = saved(kinds).withColumnsRenamed({"doc_id": "i", "th": "h"})
+    # the texts with entities are few and are used several times
+    some = saved(base_spans(docs).filter(F.size("base") > 0))
+    terms = disclosing_terms(docs, some, evidence, generalise, remove)
+    hits = docs.select("doc_id", "th", F.explode(_terms(F.col("text"))).alias("term")).join(small_or_not(terms), "term")
+    hits = saved(hits.groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_set(F.struct("term", "gone"))).alias("gone")))
+    kinds = saved(some.select("doc_id", "th", "base").dropDuplicates(["doc_id", "th"]))
+    both = kinds.select("doc_id", "th", "base", F.lit(None).cast("map<string, boolean>").alias("gone")).union(hits.select("doc_id", "th", F.lit(None).cast(kinds.schema["base"].dataType), "gone"))
+    both = both.groupBy("doc_id", "th").agg(F.first("base", True).alias("base"), F.first("gone", True).alias("gone")).withColumnsRenamed({"doc_id": "i", "th": "h"})
     none = F.array().cast("array<struct<start: bigint, rank: int, end: bigint, kind: string, match: string>>")
-    out = docs.join(kinds, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")), "left")
-    return out.select("doc_id", "text", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
+    out = docs.join(both, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")), "left").select("doc_id", "text", F.coalesce("base", none).alias("base"), "gone")
+    return out.withColumn("added", F.when(F.col("gone").isNotNull(), _occurrences(F.col("text"), F.col("base"), F.col("gone"))).otherwise(none)).drop("gone")
 
 
 def label(spans: Column) -> Column:

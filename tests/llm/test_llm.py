@@ -87,6 +87,15 @@ def test_pii(spark):
     assert pii.sanitised_spans(empty(spark)).count() == 0
 
 
+def test_pii_terms_of_the_whole_document_and_in_all_documents(spark):
+    far = "filler words that keep both a good distance apart " * 3
+    texts = [f"secretterm {far} {k} joe@corp.org {far} Secretterm" for k in range(4)] + [f"{far} number {k}" for k in range(200)] + ["x joe@corp.org", "secretterm alone"]
+    spans = pii.sanitised_spans(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), generalise=0.8)
+    got = {r.doc_id: sorted((x.start, x.end) for x in r.added) for r in spans.collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [m.span() for m in re.finditer("secretterm", t, re.I)]
+
+
 # ---- 2
 
 
