@@ -10,7 +10,8 @@ resets (where positions start at 0 again: each segment's start); doc_ids and doc
 comes from, so that unpack() gives every document back.
 
 Defined cases: null or empty text is `eos` alone; repeated rows are packed each; null doc_id is kept; an empty table
-gives no rows; other columns are ignored.
+gives no rows; a long text is one piece of its task's work, with some 40 bytes of memory for each of its own; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborfold.llm._shared import chunks
-from arborfold.llm.tokens import Encoder, default_path, known_pieces, slices
+from arborfold.llm.tokens import PIECE_BYTES, Encoder, default_path, pieces
 
 SCHEMA = "ids binary, n_tokens int, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, doc_offsets array<long>, doc_lengths array<long>"
 
@@ -83,7 +84,6 @@ def _pack(path: str, row: int, eos: int | None, pad: int, stretch: int):
         kind = np.dtype("<u2" if max(encoder.vocab - 1, end, pad) < 1 << 16 else "<u4")
         width = kind.itemsize
         last = np.array([end], kind).tobytes()
-        encoded = known_pieces(lambda pieces: [np.array(x, kind).tobytes() for x in encoder.ids(pieces)], encoder.split)
         filler = np.full(row, pad, kind).tobytes()
         segments: list[tuple[bytes, int | None, int, int]] = []  # ids, document, offset, tokens of the document
         size = 0
@@ -101,11 +101,15 @@ def _pack(path: str, row: int, eos: int | None, pad: int, stretch: int):
                 kinds = [pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["ids", "n_tokens", "cu_seqlens", "resets", "doc_ids", "doc_offsets", "doc_lengths"])
 
-        for rows, data, off in chunks(batches, size=1 << 20):
-            for doc_id, (pieces, table) in zip(rows.column("doc_id").to_pylist(), encoded(slices(data, off)), strict=True):
-                ids = b"".join(map(table.__getitem__, pieces)) + last
-                n = len(ids) // width
-                segments += ((ids[i * width : (i + row) * width], doc_id, i, n) for i in range(0, n, row))
+        for rows, data, off in chunks(batches):
+            parts, owner = pieces(data, off, encoder.cuts, PIECE_BYTES)
+            ids: list[list[int]] = [[] for _ in range(rows.num_rows)]
+            for i, part in zip(owner.tolist(), encoder.ids(parts), strict=True):
+                ids[i] = ids[i] + part if ids[i] else part
+            for doc_id, own in zip(rows.column("doc_id").to_pylist(), ids, strict=True):
+                whole = np.array(own, kind).tobytes() + last
+                n = len(own) + 1
+                segments += ((whole[i * width : (i + row) * width], doc_id, i, n) for i in range(0, n, row))
                 size += n
                 if size >= stretch:
                     yield from packed()

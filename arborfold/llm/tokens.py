@@ -6,7 +6,8 @@ is the sum of its pieces' counts, however long it is.  The distinct pieces that
 batches of about the same number of bytes; known ones come from a table of bounded size.
 
 Defined cases: null text counts as empty, with 0 bytes and 0 tokens; repeated rows are each counted; null doc_id is
-kept; an empty table gives an empty result; other columns are ignored.
+kept; a long text is one piece of its task's work, with some 30 bytes of memory for each of its own; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborfold.llm._shared import chunks
+from arborfold.llm._shared import SPACE, chunks, runs
 
 BATCH_BYTES = 256 << 10
 KNOWN = 500_000
+#: pieces() splits longer texts.
+PIECE_BYTES = 64 << 10
 # Fixed value: the pattern that splits text before the merges of a .tiktoken file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
@@ -69,6 +72,7 @@ class Encoder:
             # a tokenizer with word ends drops white space; a byte-level one joins a space to the next word
             model = getattr(t.model, "end_of_word_suffix", None)
             self.split = bytes.split if model else split_before_spaces
+            self.cuts = after_white_space if model else before_spaces
         elif path.endswith(".tiktoken"):
             import tiktoken
 
@@ -78,7 +82,7 @@ class Encoder:
             self.vocab = len(ranks) + 1  # the id after the last rank is free for an end of text
             self._ids = lambda texts: list(map(e.encode_ordinary, texts))
             self._len = lambda texts: [len(x) for x in self._ids(texts)]
-            self.split = split_before_spaces
+            self.split, self.cuts = split_before_spaces, before_spaces
         else:
             import sentencepiece
 
@@ -86,7 +90,7 @@ class Encoder:
             self.vocab = p.vocab_size()
             self._ids = lambda texts: p.encode(texts, num_threads=1)
             self._len = lambda texts: [len(x) for x in p.encode(texts, num_threads=1)]
-            self.split = whole  # its treatment of spaces depends on the text's edges
+            self.split, self.cuts = whole, None  # its treatment of spaces depends on the text's edges
 
     def lengths(self, pieces: list[bytes] | list[str]) -> list[int]:
         return self._len([p if isinstance(p, str) else p.decode() for p in pieces])
@@ -127,6 +131,39 @@ def known_pieces(make: Callable[[list[bytes]], list], split: Callable[[bytes], l
     return run
 
 
+#: Bytes that white space beyond ASCII may start or end with; next to them no text is cut.
+_WIDE_START, _WIDE_END = np.zeros(256, bool), np.zeros(256, bool)
+_WIDE_START[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_WIDE_END[[*range(0x80, 0x8B), 0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+
+
+def after_white_space(data: np.ndarray) -> np.ndarray:
+    """Where a text may be cut for a tokenizer that drops ASCII white space: at the runs outside it."""
+    return runs(data, np.array([0, len(data)]))[0]
+
+
+def before_spaces(data: np.ndarray) -> np.ndarray:
+    """Before single spaces: a byte-level pattern with ` ?letters` treats what follows alike alone and in the text."""
+    solid = ~SPACE[data]
+    cut = (data[1:-1] == 32) & solid[:-2] & solid[2:] & ~_WIDE_END[data[:-2]] & ~_WIDE_START[data[2:]]
+    return np.flatnonzero(cut) + 1
+
+
+def pieces(data: np.ndarray, off: np.ndarray, cuts: Callable[[np.ndarray], np.ndarray] | None, size: int) -> tuple[list[str], np.ndarray]:
+    """The texts, those of over `size` bytes in parts of about that size, and which text each piece is of."""
+    whole, at = data.tobytes(), off.tolist()
+    out, owner = [], []
+    for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        bounds = [a, b]
+        if b - a > size and cuts:
+            safe = cuts(data[a:b])
+            near = np.searchsorted(safe, np.arange(size, b - a, size))
+            bounds = [a, *(np.unique(safe[near[near < len(safe)]]) + a).tolist(), b]
+        out += [whole[x:y].decode() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        owner += [i] * (len(bounds) - 1)
+    return out, np.array(owner, np.int64)
+
+
 def slices(data: np.ndarray, off: np.ndarray) -> list[bytes]:
     whole_data, at = data.tobytes(), off.tolist()
     return [whole_data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
