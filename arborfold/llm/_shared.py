@@ -10,16 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
-#: Below this many rows a table of short rows may be broadcast; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 200_000
 
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LEFT: set[tuple[SparkSession, str]] = set()
@@ -29,11 +27,13 @@ _LEFT: set[tuple[SparkSession, str]] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and all tasks run here, as in tests."""
     sc = spark.sparkContext
     if here := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
         return here.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="arborfold-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -71,10 +71,64 @@ def _delete_all() -> None:
             return
 
 
-def small_or_not(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A broadcast hint if the (saved) table has few rows, else the table as it is, for a shuffle join."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+# ---- rows by keys -----------------------------------------------------------------------------------------
+
+#: Bits of a key filter: what is broadcast is at most this, 16 MB, whatever the number of keys.
+FILTER_BITS = 1 << 27
+_PAGE = 1 << 15
+
+
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def key_filter(keys: DataFrame) -> DataFrame:
+    """(page, words): one bit for the hash of each value of the only column of keys, in pages of 32,768 bits."""
+    at = keys.select(_place(F.col(keys.columns[0])).alias("at"))
+    pages = at.groupBy(F.shiftright("at", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(_PAGE - 1)).alias("bits"))
+    word = lambda i: F.conv(F.hex(F.substring("bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    return pages.select("page", F.transform(F.sequence(F.lit(0), F.lit(_PAGE // 64 - 1)), word).alias("words"))
+
+
+def perhaps(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """rows (one struct column `name`) with _key and _in: false only if no key is equal."""
+    rows = rows.withColumn("_key", key).withColumn("_at", _place(F.col("_key")))
+    pages = F.broadcast(key_filter(keys))
+    bit = F.col("_at").bitwiseAND(_PAGE - 1)
+    # a page's byte i holds bits 8 i to 8 i + 7; words are big-endian
+    bit_at = ((7 - F.shiftright(bit, 3).bitwiseAND(7)) * 8 + bit.bitwiseAND(7)).cast("int")
+    found = F.getbit(F.element_at("words", F.shiftright(bit, 6).cast("int") + 1), bit_at) == 1
+    out = rows.join(pages, F.shiftright("_at", 15) == F.col("page"), "left")
+    return out.select(name, "_key", (F.coalesce(found, F.lit(False)) & F.col("_key").isNotNull()).alias("_in"))
+
+
+def _marked(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    return perhaps(df.select(F.struct(F.col("*")).alias("_row"), key.alias("_k")), F.col("_k"), keys, "_row")
+
+
+def joined(df: DataFrame, key: Column, table: DataFrame) -> DataFrame:
+    """(_row, the other columns of table) for the rows of df whose key is in table's first column."""
+    first, *others = table.columns
+    other = table.select(F.col(first).alias("_other"), *others).hint("merge")
+    return _marked(df, key, table.select(first)).filter("_in").join(other, F.col("_key") == F.col("_other")).select("_row", *others)
+
+
+def having(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of df whose key is among those of keys (a table of one column).
+
+    A filter of fixed size leaves out nearly all the others before the rest is joined by an exchange: one way for any
+    number of keys, exact, with nothing broadcast that grows.  Null keys match nothing.
+    """
+    other = keys.select(F.col(keys.columns[0]).alias("_other")).hint("merge")
+    return _marked(df, key, keys).filter("_in").join(other, F.col("_key") == F.col("_other"), "left_semi").select("_row.*")
+
+
+def without(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The other rows of df; see having().  Rows that the filter leaves out are not exchanged."""
+    other = keys.select(F.col(keys.columns[0]).alias("_other")).hint("merge")
+    marked = _marked(df, key, keys)
+    rest = marked.filter("_in").join(other, F.col("_key") == F.col("_other"), "left_anti")
+    return marked.filter(~F.col("_in")).select("_row.*").union(rest.select("_row.*"))
 
 
 # ---- text in Arrow batches ------------------------------------------------------------------------------
@@ -115,17 +169,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs outside \\x20 and \\x09-\\x0D: 64-bit hashes, starts, ends, and the first word of each row (one more at the end)."""
-    if lower:
-        data = _LOWER[data]
-    space = _SPACE[data]
+def runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs outside \\x20 and \\x09-\\x0D: starts, ends, and the first run of each row (one more at the end)."""
+    space = SPACE[data]
     before, after = np.ones(len(data), bool), np.ones(len(data), bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     before[off[:-1][off[:-1] < len(data)]] = True
     after[off[1:][off[1:] > 0] - 1] = True
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    first = np.searchsorted(starts, off)
+    return starts, ends, np.searchsorted(starts, off)
+
+
+def words(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the runs, and runs()."""
+    if lower:
+        data = _LOWER[data]
+    starts, ends, first = runs(data, off)
     return _hashes(data, starts, ends), starts, ends, first
 
 
@@ -161,47 +220,54 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 # ---- components -----------------------------------------------------------------------------------------
 
 
-def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of one stretch of edges: as connected as before, and at most one edge for each node but the least."""
     up: dict = {}
+    kind = None
 
     def root(x):
         while (y := up.setdefault(x, x)) != x:
             up[x] = x = up[y]
         return x
 
-    kind = None
+    def out() -> Iterator[pa.RecordBatch]:
+        pairs = [(x, root(x)) for x in list(up)]
+        pairs = [(x, r) for x, r in pairs if x != r]
+        up.clear()
+        for i in range(0, len(pairs), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*pairs[i : i + 10_000], strict=True)], names=["a", "b"])
+
     for batch in batches:
         kind = batch.schema.field("a").type
         for a, b in zip(*(batch.column(c).to_pylist() for c in "ab"), strict=True):
             a, b = sorted((root(a), root(b)))
             up[b] = a
-    if up:
-        pairs = [(x, root(x)) for x in up]
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*((x, r) for x, r in pairs if x != r), strict=True)], names=["node", "root"])
+        if len(up) > 200_000:
+            yield from out()
+    yield from out()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (a, b), root the smallest node reachable.
 
-    Up to BROADCAST_ROWS edges are joined in one task.  More go through large-star and small-star steps in turn, each
-    written to the shared folder, until nothing changes.
+    Large-star and small-star steps in turn, each written to the shared folder, until nothing changes.  Before each a
+    task replaces its edges, 200,000 nodes at a time, by as many stars as they connect.
     """
-    e = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if e.isEmpty():
-        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    if e.count() <= BROADCAST_ROWS:
-        kind = e.schema["a"].dataType.simpleString()
-        return e.coalesce(1).mapInArrow(_join_all, f"node {kind}, root {kind}")
+    kind = edges.schema["a"].dataType.simpleString()
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    stars = lambda x: x.select("a", "b").mapInArrow(_forest, f"a {kind}, b {kind}")
+    e = saved(stars(edges).distinct())
     while True:
         old = e
         # large star: all larger neighbours of a node point to the least of its neighbourhood
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        e1 = saved(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        low = both.groupBy("a").agg(F.min("b").alias("m"))
+        low = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).filter("a <> b")
         # small star: a node and its smaller neighbours point to the least of them
+        e1 = saved(stars(low).distinct())
         low = e1.groupBy("a").agg(F.min("b").alias("m"))
-        joined = e1.join(low, "a")
-        e = saved(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        joined = e1.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        e = saved(joined.filter("a <> b").distinct())
         same = e.count() == old.count() and e.join(old, ["a", "b"], "left_anti").isEmpty()
         forget(old, e1)
         if same:
