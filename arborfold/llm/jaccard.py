@@ -12,7 +12,7 @@ same links; frequent ones come from a list of at most `frequent` shingles, so wh
 
 Lists are pruned before anything is paired: a shingle of one node alone goes, a list of two whose sizes do not fit
 goes, and so does a node's entry in a list if the node stands in fewer lists than any partner there would require.
-Shingles with more than `hot` documents are dealt over several tasks and are not pruned.
+A shingle's documents are dealt over tasks by about `hot`, and pruned by what is known of all of them.
 
 Equal sets collapse to one node before anything is paired.  While the lists hold far more pairs than rows, and a turn halves them, members of
 lists of over `star` nodes are first paired with one pivot of each size class, in two lists each; nodes that end in
@@ -27,6 +27,7 @@ a null doc_id takes part but never names a component; an empty table gives an em
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborfold.llm._shared import chunks, components, forget, grams, mix, saved, small_or_not, words
+from arborfold.llm._shared import chunks, components, forget, grams, having, joined, mix, saved, without, words
 
-_SIZE = 4  # last bytes of a node: its number of shingles
+_DIGEST, _SIZE = 12, 4  # bytes of a node: of its set's digest, and of its number of shingles
+_TOKEN = np.uint64((1 << 48) - 1)  # bits of a shingle's hash that name its list; sets are compared by all 64
 _PIECE = 4 << 20  # shingles among which frequent ones are told
 
 
@@ -54,7 +56,7 @@ def _sets(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarray]:
 
 
 def _node(s: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(s.tobytes(), digest_size=8).digest() + len(s).to_bytes(_SIZE, "big") if len(s) else None
+    return hashlib.blake2b(s.tobytes(), digest_size=_DIGEST).digest() + len(s).to_bytes(_SIZE, "big") if len(s) else None
 
 
 def _describe(k: int, often: int, piece: int):
@@ -71,7 +73,7 @@ def _describe(k: int, often: int, piece: int):
             held.clear()
             seen.clear()
             none = pa.nulls(len(v), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(v), pa.binary()), pa.array(v.view(np.int64)), pa.array(n)], names=names)
+            return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(v), pa.binary()), pa.array(v.astype(np.int64)), pa.array(n)], names=names)
 
         size = 0
         for rows, data, off in chunks(batches):
@@ -80,7 +82,7 @@ def _describe(k: int, often: int, piece: int):
                 nodes.append(_node(s))
                 if nodes[-1] and nodes[-1] not in seen:
                     seen.add(nodes[-1])
-                    held.append(s)
+                    held.append(np.unique(s & _TOKEN))
                     size += len(s)
             none = pa.nulls(len(nodes), pa.int64())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("th"), pa.array(nodes, pa.binary()), none, none], names=names)
@@ -113,6 +115,7 @@ def _post(k: int, cut: tuple[int, int], frequent: np.ndarray, rank: np.ndarray,
                     seen.clear()
                 n = len(s)
                 p = n - -(-a * n // b) + 1
+                s = s & _TOKEN
                 if p < n and len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     r = np.where(frequent[at] == s, rank[at], 0)
@@ -130,7 +133,7 @@ def _post(k: int, cut: tuple[int, int], frequent: np.ndarray, rank: np.ndarray,
                     of = np.where(frequent[at] == t, shares[at], 0)
                     own = np.array([int.from_bytes(x[:4], "big") for x in nodes], np.int64)[which]
                     share = np.where(of > 0, 1 + own % np.maximum(of, 1), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(share), pa.array(nodes, pa.binary()).take(pa.array(which))], names=["token", "share", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(share), pa.array(nodes, pa.binary()).take(pa.array(which))], names=["token", "share", "node"])
 
     return run
 
@@ -170,10 +173,10 @@ def _probe(k: int, cut: tuple[int, int]):
 
 
 def _size(c):
-    return F.conv(F.hex(F.substring(c, 9, _SIZE)), 16, 10).cast("long")
+    return F.conv(F.hex(F.substring(c, _DIGEST + 1, _SIZE)), 16, 10).cast("long")
 
 
-def _grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), frequent: int = 500_000, often: int = 3, star: int = 16, rounds: int = 4, hot: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), frequent: int = 500_000, often: int = 3, star: int = 16, hot: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, node) for each row of docs, and (node, one, c) for each node: its first row and its component."""
     up, down = threshold
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
@@ -181,7 +184,7 @@ def _grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), f
     each = told.filter("token is null").select("doc_id", "th", "node")
     top = told.filter("token is not null").groupBy("token").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "token").limit(frequent).toPandas()
     rank = np.arange(len(top), 0, -1)  # the most frequent come last of all
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
+    tokens = top["token"].to_numpy(np.int64).astype(np.uint64)
     by = np.argsort(tokens)
 
     times = top["n"].to_numpy(np.int64)
@@ -193,14 +196,18 @@ def _grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), f
 
     # one exchange: a list, or a share of a hot one, lies in one partition
     posts = docs.mapInArrow(_post(k, threshold, tokens[by], rank[by], shares[by]), "token long, share int, node binary").repartition("token", "share").groupBy("token", "share", "node").agg(F.lit(1).alias("x")).drop("x")
-    entry, free = Window.partitionBy("token", "share"), F.col("share") > 0
-    lists = posts.withColumn("l", F.count("*").over(entry)).filter((F.col("l") > 1) | free).withColumn("n", _size("node"))
-    lists = lists.withColumn("lo", F.min("n").over(entry)).withColumn("hi", F.max("n").over(entry))
-    lists = lists.filter(free | (F.col("l") > 2) | (F.col("lo") * down >= F.col("hi") * up))
+    entry = Window.partitionBy("token", "share")
+    lists = posts.withColumn("n", _size("node"))
+    whole = lists.filter("share > 0").groupBy("token").agg(F.count("*").alias("all"), F.min("n").alias("least"), F.max("n").alias("most"))
+    lists = lists.withColumn("l", F.count("*").over(entry)).withColumn("lo", F.min("n").over(entry)).withColumn("hi", F.max("n").over(entry))
+    # only tokens of the list of frequent ones have shares, so `whole` has that bound
+    lists = lists.join(F.broadcast(whole), "token", "left")
+    lists = lists.withColumns({"l": F.coalesce("all", "l"), "lo": F.coalesce("least", "lo"), "hi": F.coalesce("most", "hi")})
+    lists = lists.filter(F.col("l") > 1).filter((F.col("l") > 2) | (F.col("lo") * down >= F.col("hi") * up))
     # what a partner of size x must share at least; concave in x, so the least is at an end of the sizes that fit
     shared = lambda x: (F.col("n") + x) * up / (up + down) - F.greatest(F.col("n"), x) * up / down
     least_shared = F.least(shared(F.greatest("lo", F.col("n") * up / down)), shared(F.least("hi", F.col("n") * down / up)))
-    lists = lists.select("node", F.struct("token", F.when(free, F.lit(hot)).otherwise(F.col("l")).cast("long").alias("l"), F.when(free, F.lit(0.0)).otherwise(least_shared - 1e-6).alias("least")).alias("e"))
+    lists = lists.select("node", F.struct("token", "l", (least_shared - 1e-6).alias("least")).alias("e"))
     # a node's entries in one row, as many as its text has short lists: labels are joined to nodes, not to entries
     lists = lists.groupBy("node").agg(F.collect_list("e").alias("e")).withColumn("m", F.size("e"))
     lists = lists.withColumn("e", F.transform(F.filter("e", lambda x: F.col("m") >= x["least"]), lambda x: F.struct(x["token"].alias("token"), x["l"].alias("l")))).filter(F.size("e") > 0)
@@ -225,18 +232,18 @@ def _grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), f
 
     def linked(pairs: DataFrame) -> DataFrame:
         inside = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = saved(names.join(inside, "node").select("node", F.col("one.doc_id").alias("id"), F.col("one.th").alias("hash")))
-        texts = docs.join(small_or_not(wanted), (F.col("th") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
-        texts = saved(texts.select("node", "text").dropDuplicates(["node"]))
+        wanted = saved(names.join(inside, "node").select(F.struct("one.doc_id", "one.th").alias("key"), "node"))
+        texts = joined(docs, F.struct("doc_id", "th"), wanted)
+        texts = saved(texts.select("node", F.col("_row.text").alias("text")).dropDuplicates(["node"]))
         full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         out = saved(full.select("a", "b", "text_a", "text_b").mapInArrow(_probe(k, threshold), "a binary, b binary"))
-        forget(texts)
+        forget(texts, wanted)
         return out
 
     links = docs.sparkSession.createDataFrame([], "a binary, b binary")
     root = components(links)
     before = None
-    for turn in range(rounds + 1):
+    for turn in itertools.count():
         owner = lists.join(root, "node", "left").withColumn("c", F.coalesce("root", "node")) if turn else lists.withColumn("c", F.col("node"))
         labelled = owner.select("node", "n", "m", "c", F.explode("e").alias("e")).select("e.token", "node", "n", "e.l", "m", "c")
         left = labelled.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("l"), F.sum(F.col("m") * F.col("m")).alias("s"), F.count("*").alias("c")).filter("c > 1")
@@ -244,12 +251,18 @@ def _grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), f
         todo, rows = left.agg(F.sum("pairs"), F.sum("l")).first()
         if not rows:
             break
-        last = turn == rounds or todo <= 4 * rows or (before is not None and 2 * todo > before)
+        last = todo <= 4 * rows or (before is not None and 2 * todo > before)
         before = todo
         if last:
-            x = labelled.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            y = labelled.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            met = x.join(y, "token").filter("a < b and ca <> cb").filter(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
+            # a list in blocks, and each two blocks in one task; most lists are one block
+            blocked = labelled.join(left.select("token"), "token", "left_semi").withColumn("own", F.pmod(F.xxhash64("node"), 1 + F.floor(F.col("l") / hot))).withColumn("top", F.floor(F.col("l") / hot))
+            x = blocked.select("token", F.col("own").alias("i"), F.explode(F.sequence("own", "top")).alias("j"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+            y = blocked.select("token", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
+            both = x.join(y, ["token", "i", "j"]).filter("(i < j or x < y) and cx <> cy")
+            swap = F.col("x") > F.col("y")
+            two = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+            met = both.select(two("x", "y").alias("a"), two("y", "x").alias("b"), two("nx", "ny").alias("na"), two("ny", "nx").alias("nb"))
+            met = met.filter(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
             pairs = met.filter(F.col("met") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b")
         else:
             long = labelled.filter(F.col("l") > star)
@@ -268,7 +281,7 @@ def jaccard_components(docs: DataFrame, **how) -> DataFrame:
 
     how: threshold, the least similarity as a fraction (4, 5); k, words of a shingle (5); frequent, length of the
     broadcast list of frequent shingles (500,000); often, how many documents of one stretch must share a shingle for
-    it to stand on that list (3); star (16), rounds (4), hot (20,000): see above; they change the work, not the links.
+    it to stand on that list (3); star (16), hot (1000): see above; they change the work, not the links.
     """
     each, name = _grouped(docs, **how)
     least = name.groupBy("c").agg(F.min("one.doc_id").alias("component_id"))
@@ -280,26 +293,17 @@ def jaccard_components(docs: DataFrame, **how) -> DataFrame:
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, all columns, with one row for each component: the smallest doc_id's, and of its rows one.
 
-    Components with the same smallest doc_id (texts that share one) count as one; a null doc_id is the largest, and
-    texts under it are held apart.  Rows without shingles link with nothing and all stay.  Texts are exchanged once
-    where many rows go, and not at all where few do.
+    Components are told apart even if different texts in them share the smallest doc_id; a null doc_id is the largest.
+    Rows without shingles link with nothing and all stay.  Only texts that go or repeat are exchanged.
     """
     each, name = _grouped(docs.select("doc_id", "text"), **how)
     first = name.groupBy("c").agg(F.min("one").alias("first"))
-    named = Window.partitionBy("first.doc_id", F.when(F.col("first.doc_id").isNull(), F.col("c")))
-    first = first.withColumn("first", F.min("first").over(named))
     stays = saved(name.join(first, "c").select("node", "first"))
     rows = each.filter("node is not null").groupBy("node", "doc_id", "th").agg(F.count("*").alias("n"))
     stay = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
     # rows that go, and rows that stay but repeat
-    listed = rows.join(stays, "node").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), stay.alias("stay"), "n")
+    listed = rows.join(stays, "node").select(F.struct("doc_id", "th").alias("key"), stay.alias("stay"), "n")
     listed = saved(listed.filter("not stay or n > 1"))
-    again = listed.filter("stay")
-
-    def match(x: DataFrame):
-        return docs["doc_id"].cast("long").eqNullSafe(x["_id"]) & (F.xxhash64(docs["text"]) == x["_th"])
-
-    out = docs.join(small_or_not(listed), match(listed), "left_anti")
-    if again.isEmpty():
-        return out
-    return out.union(docs.join(small_or_not(again), match(again), "left_semi").dropDuplicates(["doc_id", "text"]))
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
+    again = having(docs, key, listed.filter("stay").select("key")).dropDuplicates(["doc_id", "text"])
+    return without(docs, key, listed.select("key")).union(again)
