@@ -8,12 +8,14 @@ a whole family lacks has already been taken from its share one level up: so sibl
 A leaf with a budget of A tokens and L tokens in all reads A div L whole epochs and of one more, in an order seeded by
 (seed, epoch, doc_id), the longest prefix of documents with at most A mod L tokens.  The prefix is found by the sums
 of 256 buckets of the order, then of 256 within the one that holds the edge, then by rows within one of those: no
-leaf's rows ever meet in one task, whatever its size.
+leaf's rows ever meet in one task, whatever its size.  The unspent rest of a leaf is less than its edge document's
+tokens; it stays unspent.
 
 Defined cases: null domain, lang or source counts as the empty name; tokens are the runs outside ASCII white space,
-null text has none; leaves without tokens give nothing, and nodes with weight 0 neither; of repeated rows in the edge
-bucket ties go by text; each chosen row has copies, the number of epochs that hold it; an empty table gives an empty
-result.
+null text has none; leaves without tokens give nothing, and nodes with weight 0 neither; in the edge bucket ties go by
+text, and repeated rows of a leaf stay or go together; each chosen row has copies, the number of epochs that hold it; a
+text longer than what is left ends its leaf's prefix; an empty table gives an empty result; other columns may have any
+names and come back as they were.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborfold.llm._shared import saved, small_or_not
+from arborfold.llm._shared import joined, saved, without
 
 
 def n_words(text: Column) -> Column:
@@ -63,23 +65,31 @@ def budgets(leaves: DataFrame, path: list[str], weights: dict[tuple[str, ...], i
     return leaves.join(above, path, "left").withColumn("budget", F.coalesce("budget", F.lit(0)))
 
 
+#: A leaf's rows are dealt to so many tasks wherever they are joined to the plan.
+SALT = 32
+
+
 def _leaf(rows: DataFrame, path: dict[str, Column]) -> DataFrame:
-    return rows.withColumns({f"_{k}": F.coalesce(c, F.lit("")) for k, c in path.items()}).withColumn("_tokens", n_words(F.col("text"))).withColumn("_tie", F.xxhash64("text"))
+    """The short rows (doc_id, leaf, tokens, tie); no name of the caller's comes near them."""
+    names = {f"_{k}": F.coalesce(c.cast("string"), F.lit("")).alias(f"_{k}") for k, c in path.items()}
+    return rows.select(F.col("doc_id"), *names.values(), n_words(F.col("text")).alias("_tokens"), F.xxhash64("text").alias("_tie"))
 
 
 def _bucketed(rows: DataFrame, plan: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    out = rows.join(plan, keys).withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "_epochs", F.coalesce("doc_id", F.lit(-1)))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_tie"), F.lit(SALT)))
+    spread = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")))
+    out = salted.join(spread, [*keys, "_salt"]).drop("_salt").withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "_epochs", F.coalesce("doc_id", F.lit(-1)))))
     return out.withColumn("_b1", F.substring("_h", 1, 2)).withColumn("_b2", F.substring("_h", 3, 2))
 
 
 def plan_mix(docs: DataFrame, path: dict[str, Column], weights: dict[tuple[str, ...], int], share: tuple[int, int], epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The narrow rows (doc_id, leaf, tokens) and the plan: for each leaf its epochs and the edge of its prefix."""
+    """The short rows and the plan: for each leaf its epochs and the edge of its prefix."""
     keys = [f"_{k}" for k in path]
-    rows = saved(_leaf(docs, path).select("doc_id", *keys, "_tokens", "_tie"))
+    rows = saved(_leaf(docs, path))
     leaves = saved(rows.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")))
     plan = budgets(leaves, keys, weights, share, epochs).filter("budget > 0").select(*keys, F.expr("budget div tokens").alias("_epochs"), F.expr("budget % tokens").alias("_rest"))
     plan = saved(plan)
-    two = saved(_bucketed(rows, small_or_not(plan), keys, seed).filter("_rest > 0").groupBy(*keys, "_b1", "_b2").agg(F.sum("_tokens").alias("t"), F.first("_rest").alias("_rest")))
+    two = saved(_bucketed(rows, plan, keys, seed).filter("_rest > 0").groupBy(*keys, "_b1", "_b2").agg(F.sum("_tokens").alias("t"), F.first("_rest").alias("_rest")))
 
     def edge(sums: DataFrame, by: list[str], bucket: str, before: Column) -> DataFrame:
         """The bucket in which the running sum first exceeds the rest, with the sum before it."""
@@ -97,11 +107,11 @@ def plan_mix(docs: DataFrame, path: dict[str, Column], weights: dict[tuple[str,
 
 def choose(rows: DataFrame, plan: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """rows, with _copies, as far as the plan chooses them."""
-    got = _bucketed(rows, small_or_not(plan), keys, seed)
+    got = _bucketed(rows, plan, keys, seed)
     place, edge = F.concat("_b1", "_b2"), F.concat("_e1", "_e2")
     at_edge = F.coalesce(place == edge, F.lit(False))
     clear = got.filter(~at_edge).withColumn("_copies", F.col("_epochs") + F.coalesce(place < edge, F.lit(False)).cast("int"))
-    w = Window.partitionBy(*keys).orderBy("_h", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy("_h", "doc_id", "_tie").rangeBetween(Window.unboundedPreceding, 0)
     near = got.filter(at_edge).withColumn("_copies", F.col("_epochs") + (F.col("_before") + F.sum("_tokens").over(w) <= F.col("_rest")).cast("int"))
     return clear.union(near).filter("_copies > 0")
 
@@ -120,8 +130,19 @@ def mix_sources(docs: DataFrame, weights: dict[tuple[str, ...], int] | None = No
 
 
 def mixed_documents(docs: DataFrame, weights: dict[tuple[str, ...], int] | None = None, share: tuple[int, int] = (1, 2), epochs: int = 4, seed: int = 17, path: dict[str, Column] | None = None) -> DataFrame:
-    """The chosen rows of docs, all their columns, each as often as epochs hold it."""
+    """The chosen rows of docs, all their columns, each as often as epochs hold it.
+
+    Who is chosen is decided on short rows; only texts that go or are read more than once are exchanged.
+    """
     path = path or tree()
-    _, plan = plan_mix(docs, path, weights or {}, share, epochs, seed)
-    got = choose(_leaf(docs, path), plan, [f"_{k}" for k in path], seed)
-    return got.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    names = [f"_{k}" for k in path]
+    rows, plan = plan_mix(docs, path, weights or {}, share, epochs, seed)
+    got = choose(rows, plan, names, seed).groupBy("doc_id", "_tie", *names).agg(F.max("_copies").cast("int").alias("copies"))
+    rows = rows.select("doc_id", "_tie", *names).distinct()
+    same = [rows[c].eqNullSafe(got[c]) for c in rows.columns]
+    every = rows.join(got, same, "left").select(F.struct(*(rows[c] for c in rows.columns)).alias("key"), F.coalesce("copies", F.lit(0)).alias("copies"))
+    other = saved(every.filter("copies <> 1"))
+    own = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("_tie"), *(F.coalesce(c.cast("string"), F.lit("")).alias(f"_{k}") for k, c in path.items()))
+    again = joined(docs, own, other.filter("copies > 1"))
+    again = again.select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
+    return without(docs, own, other.select("key")).union(again)

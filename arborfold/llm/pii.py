@@ -18,7 +18,8 @@ stands outside entities, in all documents; from `remove` on it is removed.  Both
 
 Defined cases: null text counts as empty and gives zeros and the digest of the empty string; repeated rows are
 occurrences like any others and each is returned; null doc_id is kept; ties in a span's start are ordered by kind;
-empty tables give empty results; other columns are ignored.
+empty tables give empty results; other columns are ignored, whatever their names; a very long text is one row of its
+task, with about 100 bytes of memory for each of its words.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborfold.llm._shared import BROADCAST_ROWS, saved, small_or_not
+from arborfold.llm._shared import forget, perhaps, saved
 
 #: Kinds in their order, with patterns equal in matches to the plain ones of the contract.
 KINDS = {
@@ -37,6 +38,7 @@ KINDS = {
 }
 ORDER = [*KINDS, "term", "gone"]
 _BLOCK = 256
+SALT = 16
 
 
 def _digits(x: Column) -> Column:
@@ -54,7 +56,7 @@ def luhn(digits: Column) -> Column:
 def valid(kind: str, match: Column) -> Column:
     n = F.length(_digits(match))
     if kind == "ip":
-        part = lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.right(p, F.lit(9)).try_cast("int"), F.lit(0)) <= 255)
+        part = lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255)
         return F.forall(F.split(match, r"\."), part)
     if kind == "card":
         return n.between(12, 19) & luhn(_digits(match))
@@ -108,21 +110,27 @@ def _outside(text: Column, base: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, evidence: int, generalise: float, remove: float) -> DataFrame:
     """(term, gone) of the terms that the method replaces or removes."""
-    e = found.select("text", "base", F.explode(F.array_distinct("base.match")).alias("entity"))
+    e = found.select(F.struct("text", "base").alias("row"), F.explode(F.array_distinct("base.match")).alias("entity"))
     # no pair is seen more often than its entity
     c_e = saved(e.groupBy("entity").agg(F.count("*").alias("c_e")).filter(F.col("c_e") >= evidence))
-    pairs = e.join(small_or_not(c_e.select("entity")), "entity").select("entity", F.explode(_terms(_outside(F.col("text"), F.col("base")))).alias("term"))
+    often = perhaps(e.select(F.struct("row.*", "entity").alias("row"), "entity"), F.col("entity"), c_e.select("entity"), "row").filter("_in").select("row.*")
+    pairs = often.select("entity", F.explode(_terms(_outside(F.col("text"), F.col("base")))).alias("term"))
     pairs = saved(pairs.groupBy("entity", "term").agg(F.count("*").alias("c_et")).filter(F.col("c_et") >= evidence))
     wanted = saved(pairs.select("term").distinct())
-    words = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
-    if (n_wanted := wanted.count()) <= BROADCAST_ROWS:
-        c_t = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("c_t"))
-    else:  # summed within tasks first, so that no word is in many rows of the join
-        c_t = words.groupBy("term").agg(F.count("*").alias("c_t")).join(wanted, "term", "left_semi")
-    n = float(docs.count() if n_wanted else 1)
+    # summed within tasks first, so that no word is in many rows of the exchange
+    c_t = _words_among(docs, wanted).groupBy("term").agg(F.count("*").alias("c_t"))
+    n = float(docs.count())
     pmi = F.log2(F.col("c_et") * n / (F.col("c_e") * F.col("c_t")))
     judged = pairs.join(c_t, "term").join(c_e, "entity").withColumn("share", pmi / F.greatest(F.log2(n / F.col("c_e")), F.lit(1e-9)))
-    return saved(judged.filter(F.col("share") >= generalise).groupBy("term").agg(F.max(F.col("share") >= remove).alias("gone")))
+    out = saved(judged.filter(F.col("share") >= generalise).groupBy("term").agg(F.max(F.col("share") >= remove).alias("gone")))
+    forget(c_e, pairs, wanted)
+    return out
+
+
+def _words_among(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, th, term) for each document's different words, without most of those that are not in terms."""
+    words = docs.select("doc_id", "th", F.explode(_terms(F.col("text"))).alias("term")).select(F.struct("doc_id", "th").alias("doc"), "term")
+    return perhaps(words, F.col("term"), terms.select("term"), "doc").filter("_in").select("doc.*", F.col("_key").alias("term"))
 
 
 def _occurrences(text: Column, base: Column, gone: Column) -> Column:
@@ -142,7 +150,9 @@ def sanitised_spans(docs: DataFrame, evidence: int = 3, generalise: float = 0.9,
     # the texts with entities are few and are used several times
     some = saved(base_spans(docs).filter(F.size("base") > 0))
     terms = disclosing_terms(docs, some, evidence, generalise, remove)
-    hits = docs.select("doc_id", "th", F.explode(_terms(F.col("text"))).alias("term")).join(small_or_not(terms), "term")
+    # a term of many documents is dealt to several tasks
+    hits = _words_among(docs, terms).withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALT)))
+    hits = hits.join(terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>"))), ["term", "salt"])
     hits = saved(hits.groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_set(F.struct("term", "gone"))).alias("gone")))
     kinds = saved(some.select("doc_id", "th", "base").dropDuplicates(["doc_id", "th"]))
     both = kinds.select("doc_id", "th", "base", F.lit(None).cast("map<string, boolean>").alias("gone")).union(hits.select("doc_id", "th", F.lit(None).cast(kinds.schema["base"].dataType), "gone"))

@@ -95,7 +95,7 @@ root AS (SELECT CAST(LEAST(SUM(tokens) // 2, SUM(tokens) * 4) AS BIGINT) AS budg
 {_mix_level("l2", ["domain", "lang"], "CASE WHEN domain = 'd0' AND lang = 'en' THEN 2 WHEN domain = 'd3' AND lang = 'de' THEN 4 ELSE 1 END", "l1")},
 {_mix_level("l3", ["domain", "lang", "source"], "1", "l2")},
 p AS (SELECT domain, lang, source, budget // tokens AS epochs, budget % tokens AS rest FROM l3 JOIN leaf USING (domain, lang, source) WHERE budget > 0),
-h AS (SELECT *, SUM(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || epochs || ':' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+h AS (SELECT *, SUM(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || epochs || ':' || doc_id), doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
   FROM d JOIN p USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM h
 WHERE epochs + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END > 0
@@ -111,11 +111,11 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(k) AS BIGINT) AS n_rem
 """
 
 TOPK_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS e FROM embeddings
+WITH v AS (SELECT ROW_NUMBER() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS e FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
-SELECT query_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
-QUALIFY ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(ROW_NUMBER() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id, r ORDER BY score DESC, vec_id) QUALIFY ROW_NUMBER() OVER w <= 5
 """
 
 CHAT_SQL = r"""
