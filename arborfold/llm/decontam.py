@@ -2,8 +2,9 @@
 
 In benchmark items and documents alike numbers, names and units become typed placeholders; other words are lower-cased
 without outer punctuation.  Windows of `window` such tokens with at least `literals` words that stayed words are
-hash-joined: the windows of the items, in blocks of at most `index` windows (a fixed bound on what is sent to the
-executors, with one pass over the documents for each block), against every window of every document.
+hash-joined as tables: the windows of the items against every window of every document.  A filter of fixed size, one bit
+for each item window's hash, leaves out nearly all windows of the documents before they leave their task; the others
+are joined by an exchange, salted so that a window of very many documents is dealt out.
 
 Windows with fewer such words are joined too, but by their lower-cased words and values as they stand, signs between
 them included; so is an item's first window, whose first word is a name or not by what stands before it.  So verbatim
@@ -15,8 +16,10 @@ asked again with other numbers is found, and a table of numbers that happens to
 contaminated by an item if consistent alignments cover `covered` of the item's tokens.
 
 Defined cases: null or empty text matches nothing; items shorter than a window make one window of their own length, be it
-one word, which each document with that word then holds; an item of signs only matches nothing; repeated rows are each reported; null doc_id or item_id is kept; empty
-tables give no rows; other columns are ignored.
+one word, which each document with that word then holds; an item of signs only matches nothing; an item that repeats
+counts once; repeated rows are each reported; null doc_id or item_id is kept; of equal windows all alignments are judged;
+a long text is one piece of its task's work, with some 100 bytes of memory for each of its words; empty tables give no
+rows; other columns are ignored by contaminated() and returned as they are, whatever their names, by decontaminated().
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborfold.llm._shared import chunks, grams, mix
+from arborfold.llm._shared import chunks, grams, mix, saved, without
 
 # Unit words.
 UNITS = frozenset(
@@ -122,131 +125,142 @@ def exact_grams(exact: np.ndarray, signed: np.ndarray, size: int) -> np.ndarray:
     return mix(exact[:n] + mix(rest + np.full(n, size, np.uint64)))
 
 
-class Index:
-    """The windows of some benchmark items."""
+_SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())]))
+ITEM_WINDOWS = "hash long, size int, as_is boolean, j int, item long, item_id long, length int, slots array<struct<at: int, value: string>>"
+CANDIDATES = "doc_id long, th long, p int, size int, as_is boolean, hash long, words array<string>"
+#: Bits of the filter of the items' windows: what goes to executors is 4 MB, whatever the benchmark's size.
+FILTER_BITS = 1 << 25
+_PAGE = 1 << 15
+SALT = 16
 
-    def __init__(self, items: list[tuple[int | None, str]], window: int, literals: int) -> None:
-        self.window, self.items = window, []
-        by: dict[tuple[int, bool], list[tuple[int, int, int]]] = defaultdict(list)
+
+def _item_windows(window: int, literals: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for item_id, text in items:
-            h, k, ids, _, exact, signed = canonical([text or ""], known)
-            values = [known.value[i] for i in ids.tolist()]
-            size = min(window, len(h))
-            if size:
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(8)]
+            for item, item_id, text in zip(*(batch.column(c).to_pylist() for c in ("item", "item_id", "text")), strict=True):
+                h, k, ids, _, exact, signed = canonical([text or ""], known)
+                size = min(window, len(h))
+                if not size:
+                    continue
                 words = np.concatenate([[0], np.cumsum(k == LITERAL)])
-                for j, (g, e) in enumerate(zip(grams(h, size).tolist(), exact_grams(exact, signed, size).tolist(), strict=True)):
+                slots = [(i, {"at": i, "value": known.value[ids[i]]}) for i in np.flatnonzero(k > 0).tolist()]
+                for j, (g, e) in enumerate(zip(grams(h, size).view(np.int64).tolist(), exact_grams(exact, signed, size).view(np.int64).tolist(), strict=True)):
                     rich = words[j + size] - words[j] >= literals
-                    if rich:
-                        by[size, False].append((g, len(self.items), j))
-                    if not rich or j == 0:
-                        by[size, True].append((e, len(self.items), j))
-            self.items.append((item_id, k.tolist(), values))
-        self.by = {}
-        for key, rows in by.items():
-            rows.sort()
-            self.by[key] = (np.array([r[0] for r in rows], np.uint64), [r[1:] for r in rows])
-
-    @property
-    def windows(self) -> int:
-        return sum(len(x[1]) for x in self.by.values())
-
-    def matches(self, texts: list[str], known: Words, covered: float) -> Iterator[tuple[int, int | None, float, int, int]]:
-        """(text's number, item_id, share covered, first and last token in the text)."""
-        h, kind, ids, first, exact, signed = canonical(texts, known)
-        met: dict[tuple[int, int, int], list[tuple[int, int, bool]]] = defaultdict(list)
-        for (size, as_is), (hashes, rows) in self.by.items():
-            g = exact_grams(exact, signed, size) if as_is else grams(h, size)
-            at = np.searchsorted(hashes, g)
-            for p in np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == g).tolist():
-                doc = int(np.searchsorted(first, p, "right")) - 1
-                if p + size > first[doc + 1]:
-                    continue
-                a = int(at[p])
-                while a < len(hashes) and hashes[a] == g[p]:
-                    item, j = rows[a]
-                    met[doc, item, p - j].append((j, size, as_is))
-                    a += 1
-        share: dict[tuple[int, int], list] = {}
-        for (doc, item, shift), spans in met.items():
-            item_id, item_kind, values = self.items[item]
-            # windows as they stand count by themselves if the rest contradicts them, and the other way round
-            for part in (spans, [x for x in spans if x[2]], [x for x in spans if not x[2]]):
-                places = sorted({j + x for j, size, _ in part for x in range(size)})
-                if places and consistent([(values[j], known.value[ids[shift + j]]) for j in places if item_kind[j] > 0]):
-                    break
-            else:
-                continue
-            s = share.setdefault((doc, item), [set(), shift + places[0], shift + places[-1]])
-            s[0].update(places)
-            s[1], s[2] = min(s[1], shift + places[0]), max(s[2], shift + places[-1])
-        for (doc, item), (places, a, b) in sorted(share.items()):
-            item_id, item_kind, _ = self.items[item]
-            if len(places) >= covered * len(item_kind):
-                yield doc, item_id, len(places) / len(item_kind), a - int(first[doc]), b - int(first[doc])
+                    for as_is, hashed in ((False, g),) * bool(rich) + ((True, e),) * (not rich or j == 0):
+                        for col, x in zip(cols, (hashed, size, as_is, j, item, item_id, len(h), [x for i, x in slots if j <= i < j + size]), strict=True):
+                            col.append(x)
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), _SLOTS]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["hash", "size", "as_is", "j", "item", "item_id", "length", "slots"])
 
+    return run
 
-def consistent(slots: list[tuple[str, str]], spare: float = 0.2) -> bool:
-    there, back, odd = {}, {}, 0
-    for a, b in slots:
-        odd += there.setdefault(a, b) != b or back.setdefault(b, a) != a
-    return odd <= spare * len(slots)
 
+def _candidates(bits, sizes: list[tuple[int, bool]]):
+    """The documents' windows that the filter lets pass."""
 
-def indexes(benchmark: DataFrame, window: int, literals: int, index: int) -> Iterator[Index]:
-    """The items in blocks, each of at most about `index` windows."""
-    block, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
-        block.append((r.item_id, r.text))
-        size += len((r.text or "").split())
-        if size >= index:
-            yield Index(block, window, literals)
-            block, size = [], 0
-    if block:
-        yield Index(block, window, literals)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, table = Words(), bits.value
+        mask = np.uint64(8 * len(table) - 1)
+        for rows, data, off in chunks(batches):
+            h, _, ids, first, exact, signed = canonical(_texts(data, off), known)
+            for size, as_is in sizes:
+                g = exact_grams(exact, signed, size) if as_is else grams(h, size)
+                at = g & mask
+                p = np.flatnonzero(table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                doc = np.searchsorted(first, p, "right") - 1
+                inside = p + size <= first[doc + 1]
+                p, doc = p[inside], doc[inside]
+                for i in range(0, len(p), 10_000):
+                    q, d = p[i : i + 10_000], doc[i : i + 10_000]
+                    words = [known.value[x] for x in ids[(q[:, None] + np.arange(size)).ravel()].tolist()]
+                    take = pa.array(d)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1, dtype=np.int32) * size), pa.array(words, pa.string()))
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column("doc_id").take(take), rows.column("th").take(take), pa.array((q - first[d]).astype(np.int32)), pa.array(np.full(len(q), size, np.int32)), pa.array([as_is] * len(q)), pa.array(g[q].view(np.int64)), lists],
+                        names=["doc_id", "th", "p", "size", "as_is", "hash", "words"],
+                    )
 
+    return run
 
-def _texts(data: np.ndarray, off: np.ndarray) -> list[str]:
-    whole, at = data.tobytes(), off.tolist()
-    return [whole[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)]
 
+def _judge(covered: float):
+    """Rows of a document and an item with all the windows they share: those whose alignments are consistent and cover enough."""
+    names = ["doc_id", "th", "times", "item_id", "covered", "first_token", "last_token"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
 
-def _report(index: Index, covered: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for rows, data, off in chunks(batches):
-            found = list(index.matches(_texts(data, off), known, covered))
-            if found:
-                doc, item, share, a, b = (list(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(doc)), pa.array(item, pa.int64()), pa.array(share), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "item_id", "covered", "first_token", "last_token"])
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                by_shift = defaultdict(list)
+                for w in x["windows"]:
+                    by_shift[w["p"] - w["j"]].append(w)
+                share: set[int] = set()
+                a, b = 1 << 62, -1
+                for shift, spans in by_shift.items():
+                    # windows as they stand count by themselves if the rest contradicts them, and the other way round
+                    for part in (spans, [w for w in spans if w["as_is"]], [w for w in spans if not w["as_is"]]):
+                        said = {w["j"] + i: v for w in part for i, v in enumerate(w["words"])}
+                        if said and consistent([(v, said[i]) for i, v in sorted({(y["at"], y["value"]) for w in part for y in w["slots"]})]):
+                            share.update(said)
+                            a, b = min(a, shift + min(said)), max(b, shift + max(said))
+                            break
+                if share and len(share) >= covered * x["length"]:
+                    out.append((x["doc_id"], x["th"], x["times"], x["item_id"], len(share) / x["length"], a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=names)
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 4, covered: float = 0.5, index: int = 500_000) -> DataFrame:
-    """(doc_id, item_id, covered, first_token, last_token): the documents that hold an item, and where."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, covered double, first_token long, last_token long"
-    out = None
-    for x in indexes(benchmark, window, literals, index):
-        part = docs.mapInArrow(_report(x, covered), schema)
-        out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+def consistent(slots: list[tuple[str, str]], spare: float = 0.2) -> bool:
+    there, back, odd = {}, {}, 0
+    for a, b in slots:
+        odd += there.setdefault(a, b) != b or back.setdefault(b, a) != a
+    return odd <= spare * len(slots)
 
 
-def _clean(index: Index, covered: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for rows, data, off in chunks(batches):
-            bad = {m[0] for m in index.matches(_texts(data, off), known, covered)}
-            yield rows.filter(pa.array([i not in bad for i in range(rows.num_rows)])) if bad else rows
+def _texts(data: np.ndarray, off: np.ndarray) -> list[str]:
+    whole, at = data.tobytes(), off.tolist()
+    return [whole[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    return run
 
+def _filter_of(windows: DataFrame) -> np.ndarray:
+    """One bit for the low bits of each window's hash."""
+    at = windows.select(F.col("hash").bitwiseAND(FILTER_BITS - 1).alias("at"))
+    pages = at.groupBy(F.shiftright("at", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(_PAGE - 1)).alias("bits"))
+    out = np.zeros(max(FILTER_BITS, _PAGE) // 8, np.uint8)
+    for r in pages.collect():  # at most FILTER_BITS / 8 bytes
+        out[r.page * _PAGE // 8 : (r.page + 1) * _PAGE // 8] = np.frombuffer(r.bits, np.uint8)
+    return out[: FILTER_BITS // 8]
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, literals: int, covered: float) -> DataFrame:
+    """(doc_id, th, times, item_id, covered, first_token, last_token) for the different rows of docs."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").dropDuplicates(["item", "item_id"])
+    windows = saved(items.mapInArrow(_item_windows(window, literals), ITEM_WINDOWS))
+    sizes = [(r.size, r.as_is) for r in windows.select("size", "as_is").distinct().collect()]  # at most two for each size
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(windows))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    told = saved(docs.mapInArrow(_candidates(bits, sizes), CANDIDATES))
+    bits.destroy()
+    told = told.groupBy("doc_id", "th", "p", "size", "as_is", "hash").agg(F.count("*").alias("times"), F.min("words").alias("words"))
+    # a window that a third of all documents hold is dealt to several tasks
+    told = told.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALT).cast("long")))
+    spread = windows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    met = told.join(spread, ["hash", "size", "as_is", "salt"])
+    met = met.groupBy("doc_id", "th", "item", "item_id", "length").agg(F.max("times").alias("times"), F.collect_list(F.struct("j", "p", "as_is", "words", "slots")).alias("windows"))
+    return met.mapInArrow(_judge(covered), "doc_id long, th long, times long, item_id long, covered double, first_token long, last_token long")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 4, covered: float = 0.5) -> DataFrame:
+    """(doc_id, item_id, covered, first_token, last_token): the documents that hold an item, and where."""
+    found = _found(docs, benchmark, window, literals, covered).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return found.select("doc_id", "item_id", "covered", "first_token", "last_token")
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 4, covered: float = 0.5, index: int = 500_000) -> DataFrame:
-    """The rows of docs, all columns, that hold no item."""
-    for x in indexes(benchmark, window, literals, index):
-        docs = docs.mapInArrow(_clean(x, covered), docs.schema)
-    return docs
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 4, covered: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that hold no item; only rows that go, and few others, are exchanged."""
+    bad = saved(_found(docs, benchmark, window, literals, covered).select(F.struct("doc_id", "th").alias("key")).distinct())
+    return without(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")), bad)

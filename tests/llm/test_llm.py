@@ -303,7 +303,9 @@ def test_top(spark):
 # ---- 8
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 15])
+def test_decontamination(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontam, "FILTER_BITS", bits)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     plain = " ".join(word() for _ in range(30))
@@ -314,9 +316,8 @@ def test_decontamination(spark):
     filler = lambda n: " ".join(word() for _ in range(n))
     docs = [(1, filler(50) + ". " + plain + " " + filler(9)), (2, filler(20) + ". " + again), (3, torn), (4, filler(100)), (5, None), (6, ""), (7, " ".join(plain.split()[:8])), (8, plain), (8, plain), (9, "1 2 3 4 5 6 7 8 9 " * 30), (None, plain), (10, filler(30_000) + " " + plain)]
     df = table(spark, [(i, t, "en", "s") for i, t in docs])
-    for index in (500_000, 10):
-        got = Counter((r.doc_id, r.item_id) for r in decontam.contaminated(df, bench, index=index).collect())
-        assert got == Counter({(1, 1): 1, (2, 2): 1, (8, 1): 2, (None, 1): 1, (10, 1): 1})
+    got = Counter((r.doc_id, r.item_id) for r in decontam.contaminated(df, bench.union(bench)).collect())
+    assert got == Counter({(1, 1): 1, (2, 2): 1, (8, 1): 2, (None, 1): 1, (10, 1): 1})
     kept = decontam.decontaminated(df, bench)
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7, 9] and kept.columns == df.columns
     assert decontam.contaminated(df, bench.limit(0)).count() == 0 and decontam.contaminated(empty(spark), bench).count() == 0
@@ -330,12 +331,55 @@ def test_decontamination_finds_verbatim_copies_of_any_item(spark):
     docs[5] = (5, "問い" + items[5] + "は", "ja", "s")
     docs += [(10, "12 - 7 = 19, 20 + 4 = 16, 3 / 5 = 15", "en", "s"), (11, "7 - 5 and 5 + 7 and 7 5", "en", "s"), (12, "The New Boy And The Lake By Someone Else Of Elm Street", "en", "s"), (13, "今天他们没有去公园", "zh", "s")]
     df = table(spark, docs)
-    for index in (500_000, 3):
-        got = Counter((r.doc_id, r.item_id) for r in decontam.contaminated(df, bench, index=index).collect())
-        assert got == Counter({(i, i): 1 for i in range(len(items))})
+    got = Counter((r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect())
+    assert got == Counter({(i, i): 1 for i in range(len(items))})
     assert sorted(r.doc_id for r in decontam.decontaminated(df, bench).collect()) == [10, 11, 12, 13]
 
 
+def test_decontamination_by_brute_force(spark):
+    """All documents of a table against all items, window by window, with tokens and their classes told apart here."""
+    sf = "/root/testdata/sf0.001"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    outer = decontam._OUTER
+
+    def tokens_of(text):
+        out, opens = [], True
+        for raw in re.sub(r"(\d)(%|[a-zA-Z]{1,5}\b)", lambda m: f"{m[1]} {m[2]}" if m[2].lower() in decontam.UNITS else m[0], text or "").split():
+            core = raw.strip(outer) if raw != "%" else "%"
+            low = core.lower()
+            kind = "U" if low in decontam.UNITS else "#" if any(c.isdigit() for c in core) else "N" if core[:1].isupper() and len(core) > 1 and not opens else ""
+            if core:
+                out.append((kind or low, low, kind != ""))
+            opens = raw[-1:] in ".!?:"
+        return out
+
+    items = [(r.item_id, tokens_of(r.text)) for r in bench]
+    assert all(len(t) >= 8 for _, t in items)
+    index = defaultdict(list)
+    for n, (_, t) in enumerate(items):
+        for j in range(len(t) - 7):
+            if sum(not s for *_, s in t[j : j + 8]) >= 4:
+                index[tuple(c for c, *_ in t[j : j + 8])].append((n, j))
+    want = set()
+    for r in docs:
+        t = tokens_of(r.text)
+        met = defaultdict(set)
+        for p in range(len(t) - 7):
+            for n, j in index.get(tuple(c for c, *_ in t[p : p + 8]), ()):
+                met[n, p - j] |= set(range(j, j + 8))
+        cover = defaultdict(set)
+        for (n, shift), places in met.items():
+            slots = [(items[n][1][i][1], t[shift + i][1]) for i in sorted(places) if items[n][1][i][2]]
+            there, back, odd = {}, {}, 0
+            for a, b in slots:
+                odd += there.setdefault(a, b) != b or back.setdefault(b, a) != a
+            if odd <= 0.2 * len(slots):
+                cover[n] |= places
+        want |= {(r.doc_id, items[n][0]) for n, places in cover.items() if len(places) >= 0.5 * len(items[n][1])}
+    got = {(r.doc_id, r.item_id) for r in queries.op8_decontaminate(spark, sf).collect()}
+    assert want and got == want
+
+
 # ---- 9
 
 
