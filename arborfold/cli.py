@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import signal
 import sys
 from collections.abc import Callable
 from dataclasses import replace
@@ -66,7 +67,10 @@ def main(argv: list[str] | None = None) -> int:
         from arborfold.plans.pipeline import Engine
 
         spark = SparkSession.builder.appName("arborfold").getOrCreate()
-        Engine(spark, args.folder, c, HttpChat(c.base_url, c.model_id, c.num_ctx), lambda kind, m: print(m, file=sys.stderr if kind == "error" else sys.stdout)).run(args.mode)
+        engine = Engine(spark, args.folder, c, HttpChat(c.base_url, c.model_id, c.num_ctx), lambda kind, m: print(m, file=sys.stderr if kind == "error" else sys.stdout))
+        for s in (signal.SIGINT, signal.SIGTERM):
+            signal.signal(s, lambda *_: engine.cancel())
+        engine.run(args.mode)
     except Exception as e:
         print(f"Execution failed: {e}", file=sys.stderr)
         return 1

@@ -24,10 +24,11 @@ class Step:
 
 
 STEPS = (
-    Step("API_SIGNATURES", "List every public name of this text with its parameters and results, as Markdown. Leave out how it works inside."),
-    Step("BUSINESS_LOGIC", "Say what problem this text solves and by which main steps. Leave out syntax and library use."),
-    Step("STATE_AND_CONCURRENCY", "List what is shared or changed while it runs, and what guards it. If nothing is, answer: No mutable state."),
-    Step("ERRORS_AND_SIDE_EFFECTS", "Describe input, output and other outside effects, and how failures are passed on. If there are none, answer: No external side effects."),
+    Step("PURPOSE", "In three sentences at most: what is this file for, and who calls on it?"),
+    Step("ENTRY_POINTS", "Give a table of what other files may use: name, inputs, outputs, one line of meaning each."),
+    Step("DATA", "Trace the data: where it comes from, the shapes it takes, what is stored, and which parts of it change during a run."),
+    Step("DEPENDENCIES", "Name the files, services and settings that this file relies on, and what for."),
+    Step("FAILURE", "Tell what can go wrong at run time, what is done about it here, and what is left to callers."),
 )
 
 
@@ -73,8 +74,15 @@ def load(folder: str | Path) -> Config:
             known["extraction_steps"] = tuple(Step(str(s.get("name", "")), str(s.get("prompt", ""))) for s in known["extraction_steps"])
         if "ignore" in known:
             known["ignore"] = tuple(deduplicate(map(str, known["ignore"])))
-        if "num_ctx" in known and int(known["num_ctx"]) <= 0:
-            del known["num_ctx"]
+        if "num_ctx" in known:
+            known["num_ctx"] = int(known["num_ctx"])
+            if known["num_ctx"] <= 0:
+                del known["num_ctx"]
+        for name, f in Config.__dataclass_fields__.items():
+            if f.type == "str" and name in known:
+                if not isinstance(known[name], (str, int, float)):
+                    raise TypeError(f"{name} is no text")
+                known[name] = str(known[name])
     except (AttributeError, TypeError, ValueError) as e:
         raise ConfigError(f"{path} has values of a wrong kind: {e}") from e
     return Config(**known)

@@ -47,7 +47,7 @@ def escapes(path: Column) -> Column:
         F.struct(F.lit(0).alias("level"), F.lit(False).alias("out")),
         lambda s, c: F.struct(F.when(c == "..", F.greatest(s["level"] - 1, F.lit(0))).otherwise(s["level"] + 1).alias("level"), (s["out"] | ((c == "..") & (s["level"] == 0))).alias("out")),
     )
-    return down["out"] & ~path.startswith("/")
+    return down["out"]
 
 
 def ignore_regex(rule: str) -> tuple[str, bool] | None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -35,6 +37,8 @@ class Result:
     rebuilt: DataFrame  # (path, summary) made in this run
     extracted: DataFrame  # (path) whose facts were asked for
     noop: bool = False
+    deleted: DataFrame | None = None  # (path) of files that are gone, in order
+    unreadable: DataFrame | None = None  # (path, error), in order
 
 
 def facts_of(files: DataFrame, known: DataFrame, config: Config, backend: Backend) -> tuple[DataFrame, DataFrame]:
@@ -64,21 +68,24 @@ def reduce_tree(files: DataFrame, state: State, config: Config, backend: Backend
         state = empty(files.sparkSession)
     here = files if full else files.filter("error is null")
     dirs = saved(directories(here))
+    unreadable = files.filter("error is not null").select("path", "error").orderBy("path")
+    deleted = None
     current = here.select("path", F.coalesce("sha256", F.lit("")).alias("sha256"))
     pages = dirs.select("path").join(state.modules.select("path"), "path", "left_semi") if pages is None else pages
     if full:
         touched = dirs.select("path")
     else:
         diff = saved(changes(current, state.files))
+        deleted = diff.filter("status = 'Deleted'").select("path").orderBy("path")
         direct = directly_affected(dirs, diff, pages, state.modules)
         touched = saved(affected(dirs, direct, diff.filter("status = 'Deleted'").select("path") if propagate_deleted else None))
         if touched.isEmpty():
-            return Result(state, touched, dirs.select("path", F.lit("").alias("summary")).limit(0), files.select("path").limit(0), noop=True)
+            return Result(state, touched, dirs.select("path", F.lit("").alias("summary")).limit(0), files.select("path").limit(0), True, deleted, unreadable)
     facts, extracted = facts_of(files, state.files, config, backend)
     todo = dirs.join(touched, "path", "left_semi").select("path", "depth")
     kept = state.modules.join(dirs.select("path"), "path", "left_semi").join(touched, "path", "left_anti").select("path", "summary")
     rebuilt = synthesise(todo, facts, kept, backend, config.system_prompt, config.module_synthesis_prompt, config.num_ctx)
-    return Result(State(facts, kept.union(rebuilt), now), touched, rebuilt, extracted)
+    return Result(State(facts, kept.union(rebuilt), now), touched, rebuilt, extracted, False, deleted, unreadable)
 
 
 def global_prompts(root_summary: DataFrame, config: Config) -> DataFrame:
@@ -100,6 +107,7 @@ class Engine:
         self.spark, self.root, self.config, self.backend = spark, root, config, backend
         self.event, self.require_git = on_event or _quiet, require_git
         self.ignore_agents_file, self.propagate_deleted = ignore_agents_file, propagate_deleted
+        self.group = ""
         self.store = Store(spark, str(Path(root, config.docs_dir, ".state")))
 
     def rules(self) -> list[str]:
@@ -116,19 +124,40 @@ class Engine:
             ensure_lock_is_ignored(self.root)
         except OSError as e:
             self.event("warning", str(e))
-        with lock(self.root):
+        with lock(self.root), self._cancellable():
             if self.store.exists() != (mode == "update"):
                 raise RuntimeError("there is a state already: update it" if mode == "init" else "there is no state yet: init first")
             files = repo_files(self.spark, self.root, self.rules())
             self.event("status", f"{mode}: scanning {self.root}")
             state = self.store.load()
             result = reduce_tree(files, state, self.config, self.backend, None if mode == "init" else self._pages(), mode == "init", self.propagate_deleted)
+            for r in result.unreadable.toLocalIterator():
+                self.event("warning", f"{r.path} can't be read: {r.error}")
+            if result.deleted is not None:
+                for r in result.deleted.toLocalIterator():
+                    self.event("deleted", r.path)
             if result.noop:
                 self.event("success", "nothing has changed")
                 return result
             self._write(result, mode)
             return result
 
+    @contextmanager
+    def _cancellable(self) -> Iterator[None]:
+        """The jobs of a run are a group of their own."""
+        sc = self.spark.sparkContext
+        self.group = f"arborfold-{uuid.uuid4().hex}"
+        sc.setJobGroup(self.group, f"arborfold {self.root}", interruptOnCancel=True)
+        try:
+            yield
+        finally:
+            for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                sc.setLocalProperty(name, None)
+
+    def cancel(self) -> None:
+        """Stop a run in progress, its jobs now and to come, from another thread or a signal handler: it fails, and gives its lock back."""
+        self.spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(self.group)
+
     def _folder(self) -> Path:
         return resolve_inside(self.root, self.config.docs_dir)
 
@@ -144,6 +173,7 @@ class Engine:
         held = self.store.load()
         for r in result.rebuilt.select(page(F.col("path")).alias("page"), "summary").toLocalIterator():
             write_inside(self.root, f"{docs}/modules/{r.page}", r.summary)
+            self.event("page", f"modules/{r.page}")
         live = held.modules.select("path")
         for r in self._pages().join(live, "path", "left_anti").toLocalIterator():
             (self._folder() / "modules" / r.path / "README.md").unlink(missing_ok=True)
@@ -153,6 +183,7 @@ class Engine:
             answers = global_prompts(root, self.config).withColumn("text", strip_fence(self.backend.complete(F.col("system"), F.col("user")))).select("page", "text")
             for r in answers.collect():  # two rows
                 write_inside(self.root, f"{docs}/{r.page}", r.text)
+                self.event("page", r.page)
         if mode == "init":
             path = resolve_inside(self.root, AGENTS_FILE)
             old = path.read_text() if path.exists() else None

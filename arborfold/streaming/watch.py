@@ -17,29 +17,35 @@ from arborfold.plans.state import Store
 
 
 def follow(versions: DataFrame, files_dir: str, store: Store, config: Config, backend: Backend, checkpoint: str):
-    """The running query.  versions: a stream of (path, version, content); files_dir: where the present files are kept."""
+    """The running query.  versions: a stream of (path, version, content); files_dir: where the present files are kept.
+
+    Each batch writes its files to a folder named by its number and reads the one before; a batch that is run again
+    after a failure finds what it found the first time.
+    """
     spark = versions.sparkSession
+    top = spark._jvm.org.apache.hadoop.fs.Path(files_dir)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def present() -> DataFrame | None:
-        try:
-            return spark.read.parquet(f"{files_dir}/current")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+    def written() -> list[int]:
+        """Numbers of the batches whose files are complete."""
+        names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
+        done = [int(n[6:]) for n in names if n.startswith("batch-")]
+        return sorted(n for n in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{files_dir}/batch-{n}/_SUCCESS")))
 
-    def update(batch: DataFrame, _: int) -> None:
+    def update(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy("path").agg(F.max_by("content", "version").alias("content"))
         newest = saved(newest.select("path", F.sha2("content", 256).alias("sha256"), "content", F.lit(None).cast("string").alias("error")))
-        old = present()
+        before = [n for n in written() if n < number]
         files = newest.filter("content is not null")
-        if old is not None:
+        if before:
+            old = spark.read.schema(newest.schema).parquet(f"{files_dir}/batch-{before[-1]}")
             files = files.union(old.join(newest.select("path"), "path", "left_anti").select(files.columns))
         files = saved(files)
-        first = not store.exists()
-        result = reduce_tree(files, store.load(), config, backend, full=first)
+        result = reduce_tree(files, store.load(), config, backend, full=not store.exists())
         if not result.noop:
             store.save(result.state)
-        files.write.mode("overwrite").parquet(f"{files_dir}/current")
+        files.write.mode("overwrite").parquet(f"{files_dir}/batch-{number}")
+        for n in before[:-1]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{files_dir}/batch-{n}"), True)
 
     return versions.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

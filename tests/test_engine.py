@@ -1,10 +1,12 @@
 """The reference's cases, models in plain Python on random texts, and a run with edits."""
 
+import hashlib
 import json
 import os
 import random
 import subprocess
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -91,6 +93,39 @@ def test_reduce_model(spark):
         assert got == {g: reduce_model(ts, 40, f) for g, ts in groups.items()}
 
 
+def test_consolidation_in_batches_and_rounds(spark, tmp_path):
+    """fact_consolidation and facts_assembly on whole files, the longest of which take several rounds."""
+    from arborfold.plans import queries
+
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long = given.limit(3).select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.repeat(F.concat("text", F.lit("é ")), 200).alias("text"), *given.columns[2:])
+    sf = str(tmp_path)
+    given.union(long).write.parquet(f"{sf}/documents.parquet")
+    digest = lambda system, user: hashlib.sha256(f"{system}\x1f{user}".encode()).hexdigest()
+    limit, rounds, want, whole = queries.LIMIT, [], {}, {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        content, name, where = r.text or "", f"doc_{r.doc_id}.txt", f"{r.source}/{r.lang}"
+        path, own = f"{where}/{name}", []
+        for k, (step, prompt) in enumerate(queries.STEPS):
+            parts = chunk_model(content, limit, queries.OVERLAP)
+            of = lambda i: f" (Chunk {i + 1} of {len(parts)})" if len(parts) > 1 else ""  # noqa: B023, E731
+            facts = [digest(f"S\n{prompt}", f"File: {name}{of(i)} inside Module: {where}\n```\n{c}\n```") for i, c in enumerate(parts)]
+            asked = []
+
+            def merged(x, step=step, asked=asked):
+                asked.append(x)
+                return digest("C", f"Consolidate and deduplicate the extracted facts for {path} regarding step '{step}':\n{x}")  # noqa: B023
+
+            fact = facts[0] if len(facts) == 1 else reduce_model(facts, queries.BUDGET, merged)
+            rounds.append(len(asked))
+            want[path, k] = fact
+            own.append(f"#### [{step}]\n{fact}\n\n")
+        whole[path] = "".join(own).strip()
+    assert max(rounds) > 2
+    assert {(r.path, r.step_ord): r.fact for r in queries.QUERIES["fact_consolidation"](spark, sf).collect()} == want
+    assert {r.path: r.facts for r in queries.QUERIES["facts_assembly"](spark, sf).collect()} == whole
+
+
 # ---- texts
 
 
@@ -141,10 +176,10 @@ def test_prune(spark):
 
 def test_guard(spark, tmp_path):
     given = ["src/file.txt", "..config", "../out.txt", "src/../../out.txt", "/../x"]
-    assert values(spark, given, paths.escapes) == [False, False, True, True, False]
+    assert values(spark, given, paths.escapes) == [False, False, True, True, True]
     for p in given[:2]:
         safety.resolve_inside(tmp_path, p)
-    for p in given[2:4]:
+    for p in given[2:]:
         with pytest.raises(safety.PathTraversal):
             safety.resolve_inside(tmp_path, p)
     (tmp_path / "escape").symlink_to("/usr")
@@ -213,6 +248,12 @@ def test_config(tmp_path):
     for e, flag in (({config.ENV_CONTEXT: "invalid"}, ""), ({config.ENV_CONTEXT: "0"}, "8"), ({}, "invalid")):
         with pytest.raises(config.ConfigError):
             config.resolve(tmp_path, e, num_ctx=flag)
+    (tmp_path / config.FILE_NAME).write_text("num_ctx: '8192'\nmodel_id: 7\n")
+    c = config.load(tmp_path)
+    assert (c.num_ctx, c.model_id) == (8192, "7") and text.file_budget(c.num_ctx) > 0
+    (tmp_path / config.FILE_NAME).write_text("base_url: [a, b]\n")
+    with pytest.raises(config.ConfigError):
+        config.load(tmp_path)
     (tmp_path / config.FILE_NAME).write_text("invalid: yaml: content:")
     with pytest.raises(config.ConfigError):
         config.load(tmp_path)
@@ -312,7 +353,8 @@ def test_engine_on_a_folder(spark, tmp_path):
     subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
     for p in ("src/a.py", "src/sub/b.py", "main.py"):
         safety.write_inside(tmp_path, p, p)
-    engine = Engine(spark, str(tmp_path), CONFIG, Digest())
+    told = []
+    engine = Engine(spark, str(tmp_path), CONFIG, Digest(), lambda *x: told.append(x))
     with pytest.raises(RuntimeError):
         engine.update()
     engine.init()
@@ -324,11 +366,31 @@ def test_engine_on_a_folder(spark, tmp_path):
     assert engine.update().noop
     (docs / "modules/src/README.md").unlink()
     assert sorted(r.path for r in engine.update().affected.collect()) == [".", "src"]
+    assert [m for k, m in told if k == "page"].count("modules/src/README.md") == 2
     (tmp_path / "src/sub/b.py").unlink()
+    (tmp_path / "main.py").unlink()
     engine.update()
+    assert [m for k, m in told if k == "deleted"] == ["main.py", "src/sub/b.py"]
     assert not (docs / "modules/src/sub/README.md").exists() and (docs / "modules/src/README.md").exists()
 
 
+def test_cancel(spark, tmp_path):
+    class Slow:
+        def complete(self, system, user):
+            wait = F.pandas_udf(lambda x: (time.sleep(5), x)[1], "string")
+            return wait(user)
+
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    safety.write_inside(tmp_path, "a.py", "a")
+    engine = Engine(spark, str(tmp_path), CONFIG, Slow())
+    stop = threading.Timer(5, engine.cancel)
+    stop.start()
+    with pytest.raises(Exception, match="(?i)cancel"):
+        engine.init()
+    with safety.lock(tmp_path):
+        pass
+
+
 def test_stream(spark, tmp_path):
     from arborfold.streaming.watch import follow
 
