@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -157,6 +158,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
             j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
             yield batch.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
+    _release()
+
+
+def _release() -> None:
+    """Give freed memory back: a worker is kept for other tasks, and what this one took would stay with it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -101,7 +101,7 @@ def _pack(path: str, row: int, eos: int | None, pad: int, stretch: int):
                 kinds = [pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["ids", "n_tokens", "cu_seqlens", "resets", "doc_ids", "doc_offsets", "doc_lengths"])
 
-        for rows, data, off in chunks(batches):
+        for rows, data, off in chunks(batches, size=1 << 18):
             parts, owner = pieces(data, off, encoder.cuts, PIECE_BYTES)
             ids: list[list[int]] = [[] for _ in range(rows.num_rows)]
             for i, part in zip(owner.tolist(), encoder.ids(parts), strict=True):

@@ -13,8 +13,8 @@ Sharded count join.  With p = (c - D) / total + gamma p' for a known sequence an
 logarithm of a probability is a sum over the sequences that end there: one weight for each known one, as the sequence
 told and as a context of the next symbol.  So a document's bits are the sum over all its sequences of the weights they
 have in the tables, and any part of the tables gives a part of the sum.  The weights are dealt by hash into shards of
-about `shard` rows (a bound on what is broadcast); each shard is joined to the distinct sequences of every megabyte of
-text, and gives a partial sum for each document; the sums are added by an exchange of short rows.  Weights are fixed-point
+about `shard` rows (a bound on what is broadcast); each shard is joined to the distinct sequences of every half megabyte
+of text, and gives a partial sum for each document; the sums are added by an exchange of short rows.  Weights are fixed-point
 numbers, so sums are exact in any order.
 
 The documents are dealt in two halves by a hash of the doc_id, and each half is scored by the model of the trusted
@@ -96,7 +96,7 @@ def _count(order: int):
                 half, part = (part >> np.uint64(56)).astype(np.int32), (part & np.uint64((1 << 56) - 1)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(half), pa.array(part), pa.array(n[i : i + 50_000])], names=["half", "g", "n"])
 
-        for rows, data, off in chunks(batches):
+        for rows, data, off in chunks(batches, size=1 << 19):
             code, first = sequences(data, off, order)
             code |= np.repeat(rows.column("half").to_numpy().astype(np.uint64), np.diff(first)) << np.uint64(56)
             counts = pc.value_counts(pa.array(code))
@@ -214,7 +214,7 @@ def _score(shard, base: list[int], order: int):
     """One shard's part of each document's bits and known sequences; base: what each symbol costs besides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in chunks(batches):
+        for rows, data, off in chunks(batches, size=1 << 19):
             code, first = sequences(data, off, order)
             half, n = rows.column("half").to_numpy(), np.diff(first)
             each = pa.array(code).dictionary_encode()
