@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborfold.llm._shared import chunks, components, forget, grams, having, joined, mix, saved, without, words
@@ -276,6 +276,11 @@ def _grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), f
     return each, names.join(root, "node", "left").select("node", "one", F.coalesce("root", "node").alias("c"))
 
 
+def _of_many(name: DataFrame, value: Column) -> DataFrame:
+    """(c, of_all) for the components of several nodes.  Written, so that a join splits a component with many of them."""
+    return saved(name.groupBy("c").agg(value.alias("of_all"), F.count("*").alias("nodes")).filter("nodes > 1").drop("nodes"))
+
+
 def jaccard_components(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
@@ -284,8 +289,9 @@ def jaccard_components(docs: DataFrame, **how) -> DataFrame:
     it to stand on that list (3); star (16), hot (1000): see above; they change the work, not the links.
     """
     each, name = _grouped(docs, **how)
-    least = name.groupBy("c").agg(F.min("one.doc_id").alias("component_id"))
-    ids = saved(name.join(least, "c").select("node", "component_id"))
+    least = _of_many(name, F.min("one.doc_id"))
+    ids = saved(name.join(least, "c", "left").select("node", F.coalesce("of_all", "one.doc_id").alias("component_id")))
+    forget(least)
     out = each.join(ids, "node", "left")
     return out.select("doc_id", F.coalesce(_size("node"), F.lit(0)).alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -297,8 +303,9 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     Rows without shingles link with nothing and all stay.  Only texts that go or repeat are exchanged.
     """
     each, name = _grouped(docs.select("doc_id", "text"), **how)
-    first = name.groupBy("c").agg(F.min("one").alias("first"))
-    stays = saved(name.join(first, "c").select("node", "first"))
+    first = _of_many(name, F.min("one"))
+    stays = saved(name.join(first, "c", "left").select("node", F.coalesce("of_all", "one").alias("first")))
+    forget(first)
     rows = each.filter("node is not null").groupBy("node", "doc_id", "th").agg(F.count("*").alias("n"))
     stay = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
     # rows that go, and rows that stay but repeat
