@@ -24,6 +24,8 @@ task, with about 100 bytes of memory for each of its words.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ KINDS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 ORDER = [*KINDS, "term", "gone"]
-_BLOCK = 256
+_BLOCK = 32
 SALT = 16
 
 
@@ -63,22 +65,37 @@ def valid(kind: str, match: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def running(lengths: Column) -> Column:
-    """Sums before each element; by blocks, so that n elements cost about n ** 1.5 / 16 steps and not n ** 2."""
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value worked out once; a lambda works out again for each element what it refers to."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def running(lengths: Column, levels: int = 3) -> Column:
+    """Sums before each element: those of blocks, found in the same way, and those within the element's block."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v)
-    n = F.size(lengths)
-    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)))).otherwise(F.array().cast("array<array<bigint>>"))
-    sums = F.transform(blocks, total)
-    return F.flatten(F.transform(blocks, lambda x, b: F.transform(x, lambda _, i: total(F.slice(sums, F.lit(1), b)) + total(F.slice(x, F.lit(1), i)))))
+    if not levels:
+        return bound(lengths, lambda a: F.transform(a, lambda _, i: total(F.slice(a, F.lit(1), i))))
+
+    def blocks(a: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _BLOCK).cast("int"))
+        return F.when(F.size(a) > 0, F.transform(at, lambda b: F.slice(a, b * _BLOCK + 1, F.lit(_BLOCK)))).otherwise(F.array().cast("array<array<bigint>>"))
+
+    def within(parts: Column, before: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda x, b: F.transform(x, lambda _, i: F.get(before, b) + total(F.slice(x, F.lit(1), i)))))
+
+    return bound(bound(lengths, blocks), lambda parts: bound(running(F.transform(parts, total), levels - 1), lambda before: within(parts, before)))
 
 
 def _found(text: Column, kind: str) -> Column:
     """Array of (match, start): all matches of the pattern, valid or not, with code point offsets."""
-    pattern = F.lit(KINDS[kind])
-    got, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, KINDS[kind], -1)
-    before = running(F.zip_with(F.slice(between, F.lit(1), F.size(got)), got, lambda a, b: (F.length(a) + F.length(b)).cast("long")))
-    lead = F.transform(F.slice(between, F.lit(1), F.size(got)), lambda a: F.length(a).cast("long"))
-    return F.when(F.size(got) > 0, F.zip_with(got, F.zip_with(before, lead, lambda a, b: a + b), lambda m, s: F.struct(m.alias("match"), s.alias("start")))).otherwise(F.array().cast("array<struct<match: string, start: bigint>>"))
+    return bound(F.regexp_extract_all(text, F.lit(KINDS[kind]), F.lit(0)), lambda got: bound(F.transform(F.split(text, KINDS[kind], -1), lambda g: F.length(g).cast("long")), lambda between: _starts(got, between)))
+
+
+def _starts(got: Column, between: Column) -> Column:
+    lead = F.slice(between, F.lit(1), F.size(got))
+    before = running(F.zip_with(lead, got, lambda a, b: a + F.length(b)))
+    starts = F.zip_with(before, lead, lambda a, b: a + b)
+    return F.zip_with(got, starts, lambda m, s: F.struct(m.alias("match"), s.alias("start")))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -136,7 +153,11 @@ def _words_among(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def _occurrences(text: Column, base: Column, gone: Column) -> Column:
     """Spans of the words outside base that are keys of the map gone."""
     words, gaps = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.split(text, _WORD, -1)
-    w = F.zip_with(F.slice(gaps, F.lit(1), F.size(words)), words, lambda g, x: F.struct(F.length(g).cast("long").alias("lead"), x.alias("word")))
+    w = F.zip_with(words, gaps, lambda x, g: F.when(x.isNotNull(), F.struct(F.length(g).cast("long").alias("lead"), x.alias("word"))))
+    return bound(F.filter(w, lambda x: x.isNotNull()), lambda w: _of_words(w, base, gone))
+
+
+def _of_words(w: Column, base: Column, gone: Column) -> Column:
     at = running(F.transform(w, lambda x: x["lead"] + F.length(x["word"])))
     spans = F.zip_with(w, at, lambda x, a: F.struct((a + x["lead"]).alias("start"), (a + x["lead"] + F.length(x["word"])).alias("end"), F.lower(x["word"]).alias("term")))
     spans = F.filter(spans, lambda x: F.map_contains_key(gone, x["term"]) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))

@@ -89,6 +89,19 @@ def test_pii(spark):
     assert pii.sanitised_spans(empty(spark)).count() == 0
 
 
+def test_pii_offsets_of_a_long_text(spark):
+    sizes = [0, 1, 31, 32, 33, 1023, 1024, 1025, 40_000]
+    rows = spark.createDataFrame([([7 * i % 11 for i in range(n)],) for n in sizes], "a array<bigint>")
+    for a, sums in rows.select("a", pii.running(F.col("a"))).collect():
+        assert sums == [sum(a[:i]) for i in range(len(a))] if len(a) < 2000 else sums[-1] == sum(a[:-1])
+    text = "\u00e9t\u00e9 " + "alpha, joe@corp.org  beta " * 30_000
+    kind = pii.base_spans(spark.createDataFrame([(0, text)], "doc_id long, text string"))
+    found = kind.withColumn("gone", F.create_map(F.lit("beta"), F.lit(True), F.lit("corp"), F.lit(False)))
+    found = found.select("base", pii._occurrences(F.col("text"), F.array().cast(kind.schema["base"].dataType), F.col("gone")).alias("all")).first()
+    assert [(x.start, x.end) for x in found.base] == [m.span() for m in re.finditer(r"joe@corp\.org", text)]
+    assert [(x.start, x.end, x.kind) for x in found.all] == [(*m.span(), "gone" if m[0] == "beta" else "term") for m in re.finditer(r"\b(?:beta|corp)\b", text)]
+
+
 def test_pii_terms_of_the_whole_document_and_in_all_documents(spark):
     far = "filler words that keep both a good distance apart " * 3
     texts = [f"secretterm {far} {k} joe@corp.org {far} Secretterm" for k in range(4)] + [f"{far} number {k}" for k in range(200)] + ["x joe@corp.org", "secretterm alone"]
