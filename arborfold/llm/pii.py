@@ -177,9 +177,13 @@ def sanitised_spans(docs: DataFrame, evidence: int = 3, generalise: float = 0.9,
     hits = saved(hits.groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_set(F.struct("term", "gone"))).alias("gone")))
     kinds = saved(some.select("doc_id", "th", "base").dropDuplicates(["doc_id", "th"]))
     both = kinds.select("doc_id", "th", "base", F.lit(None).cast("map<string, boolean>").alias("gone")).union(hits.select("doc_id", "th", F.lit(None).cast(kinds.schema["base"].dataType), "gone"))
-    both = both.groupBy("doc_id", "th").agg(F.first("base", True).alias("base"), F.first("gone", True).alias("gone")).withColumnsRenamed({"doc_id": "i", "th": "h"})
+    both = saved(both.groupBy("doc_id", "th").agg(F.first("base", True).alias("base"), F.first("gone", True).alias("gone")).withColumnsRenamed({"doc_id": "i", "th": "h"}))
     none = F.array().cast("array<struct<start: bigint, rank: int, end: bigint, kind: string, match: string>>")
-    out = docs.join(both, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")), "left").select("doc_id", "text", F.coalesce("base", none).alias("base"), "gone")
+    # a text without spans is not exchanged
+    marked = perhaps(docs.select(F.struct("doc_id", "text", "th").alias("row"), F.xxhash64("doc_id", "th").alias("key")), F.col("key"), both.select(F.xxhash64("i", "h").alias("key")), "row")
+    near = marked.filter("_in").select("row.*").join(both.hint("merge"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")), "left")
+    far = marked.filter(~F.col("_in")).select("row.*").select("doc_id", "text", none.alias("base"), F.lit(None).cast(both.schema["gone"].dataType).alias("gone"))
+    out = far.union(near.select("doc_id", "text", F.coalesce("base", none).alias("base"), "gone"))
     return out.withColumn("added", F.when(F.col("gone").isNotNull(), _occurrences(F.col("text"), F.col("base"), F.col("gone"))).otherwise(none)).drop("gone")
 
 
