@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborfold.llm import chat, decontam, jaccard, mixing, packing, pii, quality, substring, tokens, topk
+from arborfold.llm import chat, credentials, decontam, jaccard, mixing, packing, periodic, pii, quality, spelling, substring, tokens, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,54 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = credentials.secret_spans(_table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return s.select("doc_id", *map(n, credentials.BASE), F.sha2(pii.label(F.col("base")), 256).alias("base_sha256"), pii.label(pii.all_spans(F.col("base"), F.col("added"))).alias("spans"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text), a tenth of them with a repeating tail; null doc_id: as it is."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def at(w, i):
+        a = g % F.size(w)
+        p = 1 + F.floor((F.size(w) - a) / (3 + g % 8))
+        return F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+
+    found = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    tail = pii.bound(found, lambda w: F.when(F.size(w) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: at(w, i)), " ")))
+    return docs.select("doc_id", F.when(h % 10 == 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = periodic.periodic_runs(planted_periods(_table(spark, sf_dir, "documents")))
+    # greatest length / period, exactly; runs are in order, so the first of equal ones stays
+    better = lambda best, x: best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"])
+    r = r.withColumn("best", F.aggregate("runs", F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>"), lambda best, x: F.when(better(best, x), x).otherwise(best)))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    milli = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return r.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def planted_typos(occurrences: DataFrame) -> DataFrame:
+    """occurrences (doc_id, word), one of 199 pairs without one of its letters; null doc_id: as it is."""
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("word")))
+    at = (h % F.char_length("word")).cast("int")
+    short = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.char_length("word")))
+    return occurrences.select(F.when(h % 199 == 0, short).otherwise(F.col("word")).alias("word"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a word only gets shorter, so short ones go before they are hashed
+    found = spelling.runs_of_letters(_table(spark, sf_dir, "documents")).filter(F.char_length("word") >= 6)
+    return spelling.spelling_variants(planted_typos(found)).select("word", "n", "n_near", "form", "form_n", "root")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_mix, op3_substrings, op4_pack, op5_chat, op6_topk, op7_tokens, op8_decontaminate, op9_quality, op10_jaccard)}
+    each = (op1_pii, op2_mix, op3_substrings, op4_pack, op5_chat, op6_topk, op7_tokens, op8_decontaminate, op9_quality, op10_jaccard, op11_secrets, op12_runs, op13_spelling)
+    return {f.__name__: f for f in each}
 
 
 def _mix_level(name: str, keys: list[str], weight: str, above: str) -> str:
@@ -141,6 +187,89 @@ SELECT n.doc_id, n.n AS n_shingles, MIN(r.b) AS component_id FROM n JOIN r ON r.
 """
 
 
+_GIVEN = """["']? *[:=] *["']?"""
+_SECRET_SQL_PATTERNS = {
+    "assign": (1, f"(?i:password|passwd|secret|token|api_?key){_GIVEN}[A-Za-z0-9+/_.=-]+"),
+    "access": (2, "AKIA[A-Z0-9]+"),
+    "hex": (3, "[0-9a-f]{16,}"),
+    "id": (4, f"(?i:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?){_GIVEN}[A-Za-z0-9+/_.@=-]+"),
+    "key": (5, "[A-Za-z0-9+/_.:@%&?#~=-]{20,}"),
+    "endpoint": (6, f"""(?i:(?:https?|ftp|ssh|s3|gs|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ldaps?)://|(?:host(?:name)?|endpoint|server|url){_GIVEN})[^\\x00-\\x20"'<>,;]+"""),
+}
+
+
+def _secret_matches() -> str:
+    """Matches of each kind with their starts, as SQL."""
+    quoted = {k: p.replace("'", "''") for k, (_, p) in _SECRET_SQL_PATTERNS.items()}
+    each = "\nUNION ALL ".join(f"SELECT r, '{k}' AS kind, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS g FROM d WHERE regexp_matches(text, '{p}')" for k, p in quoted.items())
+    at = "list_sum(list_transform(g[1 : k], lambda x: length(x))) + COALESCE(list_sum(list_transform(m[1 : k - 1], lambda x: length(x))), 0)"
+    return f"f AS ({each}),\nx AS (SELECT r, kind, CAST({at} AS BIGINT) AS s, m[k] AS t FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM f))"
+
+
+_SECRET_VALUE = f"length(regexp_replace(t, '^(?i:password|passwd|secret|token|api_?key){_GIVEN.replace(chr(39), chr(39) * 2)}', ''))"
+SECRETS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(text, '') AS text FROM documents),
+{_secret_matches()},
+y AS (SELECT r, s, CASE WHEN kind = 'key' THEN regexp_extract(t, '^(.*?)[.:]*$', 1) ELSE t END AS t, kind, CASE kind WHEN 'assign' THEN {_SECRET_VALUE} ELSE length(t) END AS v FROM x),
+z AS (SELECT r, s, s + length(t) AS e, t, CASE WHEN kind = 'assign' AND v < 8 OR kind = 'hex' AND v < 32 THEN 'key' WHEN kind = 'access' AND v < 16 THEN 'id' ELSE kind END AS kind,
+    kind IN ('assign', 'access', 'hex') AND v >= CASE kind WHEN 'assign' THEN 8 WHEN 'access' THEN 16 ELSE 32 END AS strong
+  FROM y WHERE NOT (kind = 'assign' AND v < 4) AND (kind <> 'key' OR regexp_full_match(t, '[A-Za-z0-9+/_=-]{{20,}}') AND regexp_matches(t, '[0-9]') AND regexp_matches(t, '[a-z]') AND regexp_matches(t, '[A-Z]'))),
+q AS (SELECT *, CASE WHEN kind IN ('access', 'id') THEN 'id' WHEN kind = 'endpoint' THEN kind ELSE 'key' END AS role, row_number() OVER () AS i FROM z),
+l AS (SELECT a.i, bool_or(b.role = 'id') AS id, bool_or(b.role = 'key') AS key, bool_or(b.role = 'endpoint') AS endpoint, bool_or(b.role = 'id' AND b.strong) AS strong_id, bool_or(b.role = 'key' AND b.strong) AS strong_key
+  FROM q a JOIN q b ON a.r = b.r AND a.i <> b.i AND b.e > a.s - 200 AND b.s < a.e + 200 WHERE NOT a.strong GROUP BY a.i),
+k AS (SELECT q.* FROM q LEFT JOIN l USING (i) WHERE strong OR CASE role WHEN 'key' THEN strong_id OR id AND endpoint WHEN 'id' THEN strong_key OR key AND endpoint ELSE strong_key OR key AND id END),
+o AS (SELECT r, COUNT(*) FILTER (kind = 'assign') AS n_assign, COUNT(*) FILTER (kind = 'access') AS n_access, COUNT(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, CASE kind WHEN 'assign' THEN 1 WHEN 'access' THEN 2 ELSE 3 END) FILTER (strong) AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, CASE kind WHEN 'assign' THEN 1 WHEN 'access' THEN 2 WHEN 'hex' THEN 3 WHEN 'id' THEN 4 WHEN 'key' THEN 5 ELSE 6 END, e) AS spans
+  FROM k GROUP BY r)
+SELECT doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_access, COALESCE(n_hex, 0) AS n_hex, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans FROM d LEFT JOIN o USING (r)
+"""
+
+
+def _crc32(codes: str) -> str:
+    """CRC-32 of a list of bytes, bit by bit: each byte is followed by eight shifts."""
+    steps = f"flatten(list_transform({codes}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    shift = "CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"xor(list_reduce({steps}, lambda c, x: {shift}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+_ASCII = "list_transform(string_split({}, ''), lambda x: CAST(unicode(x) AS BIGINT))"
+RUNS_SQL = rf"""
+WITH w0 AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(COALESCE(text, ''), '[ 	
+]+'), lambda x: x <> '') AS ws, COALESCE({_crc32(_ASCII.format("CAST(doc_id AS VARCHAR)"))}, 1) AS h FROM documents),
+w1 AS (SELECT *, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM w0),
+w2 AS (SELECT *, 1 + (len(ws) - a) // (3 + (h // 10) % 8) AS p FROM w1),
+w AS MATERIALIZED (SELECT r, doc_id, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN list_transform(range(len(ws)), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE ws END AS ws FROM w2),
+o AS MATERIALIZED (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i, len(ws) AS n FROM w),
+q AS (SELECT x.r, y.i - x.i AS p, x.i FROM o x JOIN o y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT r, p, MIN(i) AS start, COUNT(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS island FROM q) GROUP BY r, p, island HAVING COUNT(*) + p >= greatest(6, 4 * p)),
+runs AS MATERIALIZED (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.r = s.r AND t.p < s.p AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+best AS (SELECT r, start, length, p FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / p DESC, start, p) = 1),
+lines AS (SELECT r, COUNT(*) AS n_runs, string_agg(start || ',' || length || ',' || p || chr(10), '' ORDER BY start, p) AS t FROM runs GROUP BY r),
+gone AS (SELECT r, list_distinct(flatten(list(range(start + p, start + length)))) AS g FROM runs GROUP BY r)
+SELECT doc_id, COALESCE(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(p AS BIGINT) AS period, CAST(1000 * length // p AS BIGINT) AS exponent_milli, sha256(COALESCE(t, '')) AS runs_sha256,
+  sha256(COALESCE(array_to_string(CASE WHEN g IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(g, i - 1)) END, ' '), '')) AS collapsed_sha256
+FROM w LEFT JOIN lines USING (r) LEFT JOIN best USING (r) LEFT JOIN gone USING (r)
+"""
+
+#: UTF-8 bytes of code points up to U+00FF from U+00C0 on, and below U+0080.
+_BYTES = "flatten(list_transform(string_split({}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, CAST(unicode(x) - 64 AS BIGINT)] END))"
+SPELLING_SQL = f"""
+WITH RECURSIVE o AS (SELECT doc_id, unnest(regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+c AS (SELECT doc_id, w, COUNT(*) AS n FROM o WHERE length(w) >= 6 GROUP BY doc_id, w),
+h AS (SELECT w, n, COALESCE({_crc32(_BYTES.format("doc_id || ':' || w"))}, 1) AS h FROM c),
+v AS MATERIALIZED (SELECT word, CAST(SUM(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN w[: h % length(w)] || w[h % length(w) + 2 :] ELSE w END AS word, n FROM h) WHERE length(word) >= 6 GROUP BY word HAVING SUM(n) >= 5),
+d AS MATERIALIZED (SELECT word, n, i, word[: i - 1] || word[i + 1 :] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS MATERIALIZED (SELECT a.word, b.word AS form, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.rest UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.rest),
+m AS (SELECT word, COUNT(*) AS n_near FROM near GROUP BY word),
+b AS (SELECT word, form, n AS form_n FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, form COLLATE "binary") = 1),
+t AS MATERIALIZED (SELECT v.word, v.n, COALESCE(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * v.n THEN form END AS form, CASE WHEN form_n >= 5 * v.n THEN form_n END AS form_n FROM v LEFT JOIN m USING (word) LEFT JOIN b USING (word)),
+r AS (SELECT word, word AS root, form FROM t UNION ALL SELECT r.word, r.form, t.form FROM r JOIN t ON t.word = r.form)
+SELECT t.word, n, CAST(n_near AS BIGINT) AS n_near, t.form, form_n, root FROM t JOIN r ON r.word = t.word AND r.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express over whole tables; the others are tested against brute force."""
-    return {"op2_mix": MIX_SQL, "op3_substrings": SUBSTRING_SQL, "op5_chat": CHAT_SQL, "op6_topk": TOPK_SQL, "op10_jaccard": JACCARD_SQL}
+    return {"op2_mix": MIX_SQL, "op3_substrings": SUBSTRING_SQL, "op5_chat": CHAT_SQL, "op6_topk": TOPK_SQL, "op10_jaccard": JACCARD_SQL, "op11_secrets": SECRETS_SQL, "op12_runs": RUNS_SQL, "op13_spelling": SPELLING_SQL}
