@@ -3,12 +3,12 @@
 Words are counted by an exchange.  The words that count are sorted by range and cut into shards, each a compact trie
 of at most `nodes` nodes (or one word): nodes are numbered by depth, so one sorted array of (parent, letter) names all
 children, and a node takes 16 bytes with its count.  Shards are broadcast in groups of at most `group_bytes`, one group
-after the other; both bounds
-are fixed, whatever the vocabulary, and only the number of groups grows with it.  All words, dealt over tasks, meet
-every shard: the word's distance-one Levenshtein automaton, states (read, edits), is intersected with the trie
-depth-first.  In the states without an edit there is one path; from each of its nodes the automaton may skip a letter
-of the word, take one of the trie that the word lacks, or take another one, and what follows has to match letter by
-letter.  Accepting nodes are the neighbours.  They are reduced where they are found to a row for each word and group of
+after the other; both bounds are fixed, whatever the vocabulary, and only the number of groups grows with it.  All
+words, dealt over tasks, meet every shard: the word's distance-one Levenshtein automaton, states (read, edits), is
+intersected with the trie depth-first.  In the states without an edit there is one path; from each of its nodes the
+automaton may skip a letter of the word, take one of the trie that the word lacks, or take another one, and what follows
+has to match letter by letter, to its end, before the path goes on; thousands of words take each step together, in
+numpy.  Accepting nodes are the neighbours.  They are reduced where they are found to a row for each word and group of
 shards (how many, and the best), and these to one row for each word.
 
 A word's form is the near word of largest count (ties: smallest in code point order) if that is `ratio` times its own

@@ -626,7 +626,7 @@ def test_pipeline(spark):
 def test_queries_are_registered():
     import __spark_entry__ as e
 
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.queries()) | {"pipeline"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
 
 
