@@ -168,7 +168,7 @@ def _same(a: DataFrame, b: DataFrame):
 
 def _lists(docs: DataFrame, w: int) -> tuple[DataFrame, DataFrame]:
     """Documents with shared anchors: (doc_id, th, text, sure, asked); and the windows that repeat at boundaries: (doc_id, th, gone)."""
-    found = docs.mapInArrow(_parse(w), "anchor long, whole long, doc_id long, th int, start int, n int, times int")
+    found = docs.mapInArrow(_parse(w), "anchor long, whole long, doc_id long, th binary, start int, n int, times int")
     index = found.groupBy("anchor").agg(F.sum("times").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("c > 1")
     shared = saved(found.join(index.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"))
     factor = shared.filter("mixed").groupBy("anchor", "whole").agg(F.sum("times").alias("c"), F.min(F.struct("doc_id", "th", "start", (F.col("n") / F.col("times")).cast("int").alias("n"))).alias("one"))
@@ -180,7 +180,7 @@ def _lists(docs: DataFrame, w: int) -> tuple[DataFrame, DataFrame]:
     per_doc = per_doc.select("doc_id", "th", F.filter("all", lambda x: x["alone"].isNull()).alias("sure"), F.filter("all", lambda x: x["alone"].isNotNull()).alias("asked"))
     texts = saved(docs.join(per_doc, _same(docs, per_doc)).select(docs["doc_id"], docs["th"], "text", "sure", "asked"))
     asked = texts.filter("size(asked) > 0").dropDuplicates(["doc_id", "th"])
-    windows = saved(asked.mapInArrow(_boundary(w), "anchor long, whole long, doc_id long, th int, place int, alone boolean"))
+    windows = saved(asked.mapInArrow(_boundary(w), "anchor long, whole long, doc_id long, th binary, place int, alone boolean"))
     twice = windows.groupBy("anchor", "whole").agg(F.count("*").alias("c")).filter("c > 1").select("anchor", "whole")
     edges = windows.filter("alone").join(twice, ["anchor", "whole"], "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct(F.col("place").alias("start"), F.lit(1).alias("n"))).alias("gone"))
     edges = saved(edges)
@@ -189,7 +189,8 @@ def _lists(docs: DataFrame, w: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("th"))
+    """With 128 bits that tell rows of one doc_id, or of none, apart by their texts."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("th"))
 
 
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start: long, end: long>>"
@@ -205,7 +206,7 @@ def repeated_substrings(docs: DataFrame, window: int = 35) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of docs (doc_id, text); window: at least 9 words."""
     docs = _keyed(docs)
     texts, edges = _lists(docs, window)
-    whole = docs.mapInArrow(_digest, "doc_id long, th int, n_words long, kept_sha256 string")
+    whole = docs.mapInArrow(_digest, "doc_id long, th binary, n_words long, kept_sha256 string")
     keys = texts.select("doc_id", "th").distinct()
     whole = whole.join(keys, _same(whole, keys), "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return whole.union(_changed(texts, edges, window).select(*whole.columns))

@@ -188,6 +188,19 @@ def test_substrings(spark, rows):
     assert substring.repeated_substrings(empty(spark)).count() == 0
 
 
+def test_substrings_of_rows_without_id(spark):
+    """Texts of one id that meet in 32 bits are different rows, whatever they have removed."""
+    rng = random.Random(12)
+    passage = prose(rng, 60).split()
+    said = " ".join(passage[:40])
+    both = [F.concat(F.lit(f"{said} n"), "id"), F.concat(F.lit("n"), "id", F.lit(f" {said} {said}"))]
+    many = spark.range(200_000).select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), t.alias("t"), F.hash(t).alias("h")) for i, t in enumerate(both)))).alias("x")).select("x.*")
+    pair = many.groupBy("h").agg(F.min(F.when(F.col("i") == 0, F.col("t"))).alias("a"), F.min(F.when(F.col("i") == 1, F.col("t"))).alias("b")).filter("a is not null and b is not null").first()
+    rows = [(None, pair.a), (None, pair.b), (None, None), (None, ""), (7, f"{said} x"), (None, " ".join(passage))]
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.repeated_substrings(table(spark, [(i, t, "en", "s") for i, t in rows])).collect())
+    assert got == Counter([(None, 41, 40), (None, 81, 80), (None, 0, 0), (None, 0, 0), (7, 41, 40), (None, 60, 40)])
+
+
 # ---- 4, 7
 
 
