@@ -7,7 +7,8 @@ T = ceil(t (a + b) / (1 + t)) common shingles.
 DivideSkip, dealt over executors: a document's shingles are ordered from rare to frequent and divided.  The first
 n - ceil(t n) + 1 make short inverted lists, which are merged (by an exchange on the shingle instead of a heap);
 a pair must meet there at least T minus what its long lists can still give, or it is dropped.  For the survivors
-the long lists are probed: both whole shingle sets are compared by binary search.  Any order of shingles gives the
+the long lists are probed: both whole shingle sets are compared by binary search.  Lists are named by all
+64 bits of a shingle, as sets are compared, so a set has as many entries as shingles.  Any order of them gives the
 same links; frequent ones come from a list of at most `frequent` shingles, so what is broadcast has a fixed bound.
 
 Lists are pruned before anything is paired: a shingle of one node alone goes, a list of two whose sizes do not fit
@@ -38,7 +39,6 @@ from pyspark.sql import functions as F
 from arborfold.llm._shared import chunks, components, forget, grams, having, joined, mix, saved, without, words
 
 _DIGEST, _SIZE = 12, 4  # bytes of a node: of its set's digest, and of its number of shingles
-_TOKEN = np.uint64((1 << 48) - 1)  # bits of a shingle's hash that name its list; sets are compared by all 64
 _PIECE = 4 << 20  # shingles among which frequent ones are told
 
 
@@ -82,7 +82,7 @@ def _describe(k: int, often: int, piece: int):
                 nodes.append(_node(s))
                 if nodes[-1] and nodes[-1] not in seen:
                     seen.add(nodes[-1])
-                    held.append(np.unique(s & _TOKEN))
+                    held.append(s)
                     size += len(s)
             none = pa.nulls(len(nodes), pa.int64())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("th"), pa.array(nodes, pa.binary()), none, none], names=names)
@@ -115,7 +115,6 @@ def _post(k: int, cut: tuple[int, int], frequent: np.ndarray, rank: np.ndarray,
                     seen.clear()
                 n = len(s)
                 p = n - -(-a * n // b) + 1
-                s = s & _TOKEN
                 if p < n and len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     r = np.where(frequent[at] == s, rank[at], 0)
