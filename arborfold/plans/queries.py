@@ -288,7 +288,7 @@ def greedy_batches(spark, sf):
 def loop_guard(spark, sf):
     """The echo never condenses: the guard ends each group after one round."""
     items = _doc_items(spark, sf)
-    n = reduce.batches(reduce.pack(reduce.expand(items, BUDGET), BUDGET)).groupBy("grp").agg(F.count("*").alias("batches"))
+    n = reduce.pack(reduce.expand(items, BUDGET), BUDGET).groupBy("grp").agg(F.countDistinct("batch").alias("batches"))
     out = reduce.reduce_items(items, BUDGET, lambda g, joined: Echo().complete(F.lit(""), joined))
     return out.select("grp", F.sha2("text", 256).alias("text_sha256")).join(n, "grp")
 
