@@ -1,10 +1,11 @@
-"""python -m arborfold.cli init | update | setup [--model-id M] [--num-ctx N] [folder]"""
+"""python -m arborfold.cli init | update | setup [--model-id M] [--num-ctx N] [--calls N] [folder]"""
 
 from __future__ import annotations
 
 import argparse
 import signal
 import sys
+import threading
 from collections.abc import Callable
 from dataclasses import replace
 from pathlib import Path
@@ -51,6 +52,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("folder", nargs="?", default=".")
     p.add_argument("--model-id", default="")
     p.add_argument("--num-ctx", default="")
+    p.add_argument("--calls", type=int, default=4, help="calls of the model that may be open at a time")
     args = p.parse_args(argv)
     try:
         if args.mode == "setup":
@@ -64,12 +66,14 @@ def main(argv: list[str] | None = None) -> int:
         from pyspark.sql import SparkSession
 
         from arborfold.plans.backends import HttpChat
+        from arborfold.plans.journal import Journal
         from arborfold.plans.pipeline import Engine
 
         spark = SparkSession.builder.appName("arborfold").getOrCreate()
-        engine = Engine(spark, args.folder, c, HttpChat(c.base_url, c.model_id, c.num_ctx), lambda kind, m: print(m, file=sys.stderr if kind == "error" else sys.stdout))
+        engine = Engine(spark, args.folder, c, HttpChat(c.base_url, c.model_id, c.num_ctx, Journal(str(Path(args.folder, c.docs_dir, ".state", "journal").resolve()), args.calls)), lambda kind, m: print(m, file=sys.stderr if kind == "error" else sys.stdout))
         for s in (signal.SIGINT, signal.SIGTERM):
-            signal.signal(s, lambda *_: engine.cancel())
+            # the main thread may be talking to the JVM: another one cancels
+            signal.signal(s, lambda *_: threading.Thread(target=engine.cancel, daemon=True).start())
         engine.run(args.mode)
     except Exception as e:
         print(f"Execution failed: {e}", file=sys.stderr)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from arborfold.functions.paths import base_name, directory
 from arborfold.functions.text import chunks, file_budget, overlap_of, reduce_budget, strip_fence, trimmed
-from arborfold.operators.reduce import reduce_items
+from arborfold.operators.reduce import reduce_items, reduce_once
 from arborfold.plans.backends import Backend
+from arborfold.plans.events import Log, quiet
 from arborfold.plans.scratch import saved
 
 
@@ -46,10 +47,12 @@ def consolidate(answers: DataFrame, backend: Backend, prompt: str, num_ctx: int)
     return one.union(got.select("grp.path", "grp.step_ord", "grp.step", F.col("text").alias("fact")))
 
 
-def extract(files: DataFrame, backend: Backend, steps: list[tuple[str, str]], system_prompt: str, consolidation_prompt: str, num_ctx: int) -> DataFrame:
+def extract(files: DataFrame, backend: Backend, steps: list[tuple[str, str]], system_prompt: str, consolidation_prompt: str, num_ctx: int, log: Log = quiet) -> DataFrame:
     """(path, facts) of files (path, content); a model is asked once for each step and chunk."""
     asked = prompts(files, steps, system_prompt, num_ctx)
     answers = saved(asked.withColumn("fact", strip_fence(backend.complete(F.col("system"), F.col("user")))).drop("system", "user"))
+    chunk = F.when(F.col("n_chunks") > 1, F.concat(F.lit(" (chunk "), F.col("idx") + 1, F.lit(" of "), F.col("n_chunks"), F.lit(")"))).otherwise("")
+    log("extracted", answers.select(F.concat("path", F.lit(": step "), F.col("step_ord") + 1, F.lit(f" of {len(steps)}, "), "step", chunk)))
     return assemble(consolidate(answers, backend, consolidation_prompt, num_ctx))
 
 
@@ -60,20 +63,35 @@ def components(facts: DataFrame, children: DataFrame) -> DataFrame:
     return own.union(sub)
 
 
-def synthesise(dirs: DataFrame, facts: DataFrame, known: DataFrame, backend: Backend, system_prompt: str, module_prompt: str, num_ctx: int) -> DataFrame:
-    """(path, summary) of dirs (path, depth), bottom-up: all directories of one depth at once.
+def synthesise(dirs: DataFrame, facts: DataFrame, known: DataFrame, backend: Backend, system_prompt: str, module_prompt: str, num_ctx: int, log: Log = quiet) -> DataFrame:
+    """(path, summary) of dirs (path, depth), children before their parents.
 
-    known: summaries (path, summary) of directories that are not in dirs and stand as they are.
+    known: summaries (path, summary) of directories that are not in dirs and stand as they are.  A directory is begun
+    as soon as its last child is done, whatever its depth.  A round is one step of reduction for all directories that
+    are begun and not done, so a directory that takes many rounds holds back only those above it, and rounds are as
+    many as the longest chain of steps.
     """
-    levels = sorted((r.depth for r in dirs.select("depth").distinct().collect()), reverse=True)  # as many as the tree is deep
-    made = None
-    ready = known
-    for level in levels:
-        here = dirs.filter(F.col("depth") == level).select(F.col("path").alias("dir"))
-        items = components(facts, ready).join(here, "dir", "left_semi")
-        items = items.select(F.col("dir").alias("grp"), F.struct("kind", "name").alias("ord"), "text")
-        got = reduce_items(items, reduce_budget(num_ctx), lambda g, joined: strip_fence(backend.complete(F.lit(f"{system_prompt}\n{module_prompt}"), F.concat(F.lit("Synthesize architecture for "), g, F.lit(":\n"), joined))))
-        new = saved(here.select(F.col("dir").alias("path")).join(got.select(F.col("grp").alias("path"), F.col("text").alias("summary")), "path", "left").withColumn("summary", F.coalesce("summary", F.lit(""))))
-        made = new if made is None else made.union(new)
-        ready = known.union(made)
-    return made if made is not None else known.limit(0)
+    budget = reduce_budget(num_ctx)
+    ask = lambda g, joined: strip_fence(backend.complete(F.lit(f"{system_prompt}\n{module_prompt}"), F.concat(F.lit("Synthesize architecture for "), g, F.lit(":\n"), joined)))
+    todo = saved(dirs.select("path"))
+    parent = F.when(F.col("path") != ".", directory(F.col("path")))
+    children = todo.select("path", parent.alias("parent")).join(todo.select(F.col("path").alias("parent")), "parent", "left_semi")
+    waiting, made, items = todo, None, None
+    while True:
+        # begun: those waiting without a child that is not done
+        open_children = children if made is None else children.join(made.select("path"), "path", "left_anti")
+        begun = saved(waiting.join(open_children.select(F.col("parent").alias("path")), "path", "left_anti"))
+        summaries = known if made is None else known.union(made)
+        parts = components(facts, summaries).join(begun.select(F.col("path").alias("dir")), "dir", "left_semi")
+        new = saved(parts.select(F.col("dir").alias("grp"), F.struct("kind", "name").alias("ord"), "text"))
+        counts = new.groupBy(F.col("grp").alias("path")).agg(F.count("*").alias("parts"))
+        log("directory", counts.select(F.concat(F.col("path"), F.lit(": "), F.col("parts"), F.lit(" components"))))
+        bare = begun.join(counts.select("path"), "path", "left_anti").select("path", F.lit("").alias("summary"))
+        active = new if items is None else new.union(items)
+        ended, left = reduce_once(active, budget, ask)
+        ended = saved(bare.union(ended.select(F.col("grp").alias("path"), F.col("text").alias("summary"))))
+        made = ended if made is None else made.union(ended)
+        waiting = saved(waiting.join(begun, "path", "left_anti"))
+        items = left.select("grp", F.struct(F.col("ord").alias("kind"), F.lit("").alias("name")).alias("ord"), "text")
+        if waiting.isEmpty() and items.isEmpty():
+            return made

@@ -115,20 +115,26 @@ def batches(parts: DataFrame, packed: DataFrame) -> DataFrame:
     return placed.groupBy("grp", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), SEPARATOR).alias("joined"), F.sum("len").alias("len"))
 
 
+def reduce_once(items: DataFrame, budget: int, reducer: Reducer) -> tuple[DataFrame, DataFrame]:
+    """One round for all groups of items (grp, ord, text): (grp, text) of those that are done, and the items of the others.
+
+    ord: anything that sorts, different within a group; that of the new items is an int.
+    """
+    parts = expand(items.select("grp", "ord", "text"), budget)
+    got = batches(parts, pack(parts, budget))
+    out = saved(got.withColumn("out", reducer(F.col("grp"), F.col("joined"))).select("grp", "batch", "out", "len"))
+    per = out.groupBy("grp").agg(F.count("*").alias("n"), F.sum("len").alias("taken"), F.sum(F.char_length("out")).alias("made"))
+    stop = (F.col("n") == 1) | (F.col("made") >= F.expr("taken * 95 div 100"))
+    per = saved(per.select("grp", stop.alias("stop")))
+    done = out.join(per.filter("stop"), "grp", "left_semi").groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "out"))), lambda x: x["out"]), SEPARATOR).alias("text"))
+    return done, out.join(per.filter("not stop"), "grp", "left_semi").select("grp", F.col("batch").alias("ord"), F.col("out").alias("text"))
+
+
 def reduce_items(items: DataFrame, budget: int, reducer: Reducer) -> DataFrame:
     """(grp, text) for each group of items (grp, ord, text); ord: anything that sorts, different within a group."""
     done = None
-    items = items.select("grp", "ord", "text")
     while True:
-        parts = expand(items, budget)
-        got = batches(parts, pack(parts, budget))
-        out = saved(got.withColumn("out", reducer(F.col("grp"), F.col("joined"))).select("grp", "batch", "out", "len"))
-        per = out.groupBy("grp").agg(F.count("*").alias("n"), F.sum("len").alias("taken"), F.sum(F.char_length("out")).alias("made"))
-        stop = (F.col("n") == 1) | (F.col("made") >= F.expr("taken * 95 div 100"))
-        per = saved(per.select("grp", stop.alias("stop")))
-        ended = out.join(per.filter("stop"), "grp", "left_semi").groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "out"))), lambda x: x["out"]), SEPARATOR).alias("text"))
+        ended, items = reduce_once(items, budget, reducer)
         done = ended if done is None else done.union(ended)
-        left = per.filter("not stop")
-        if left.isEmpty():
+        if items.isEmpty():
             return done
-        items = out.join(left, "grp", "left_semi").select("grp", F.col("batch").alias("ord"), F.col("out").alias("text"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from arborfold.plans.journal import ChatError, Journal, Journaled
+
 
 class Backend(Protocol):
     def complete(self, system: Column, user: Column) -> Column: ...
@@ -39,10 +39,6 @@ class Head:
         return F.substring(user, 1, self.k)
 
 
-class ChatError(RuntimeError):
-    pass
-
-
 def post_chat(base: str, model: str, system: str, user: str, num_ctx: int, timeout: float = 600) -> str:
     """One attempt; an error holds at most 1024 bytes of the answer."""
     body = {"model": model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}], "stream": False, "options": {"num_ctx": num_ctx} if num_ctx else {}}
@@ -54,18 +50,8 @@ def post_chat(base: str, model: str, system: str, user: str, num_ctx: int, timeo
         raise ChatError(f"chat server error: status {e.code}, response: {e.read(1024).decode(errors='replace')}") from e
 
 
-class HttpChat:
-    """A nondeterministic function, so that the optimizer never asks twice; callers write its answers before using them."""
-
-    def __init__(self, base: str, model: str, num_ctx: int) -> None:
-        self.base, self.model, self.num_ctx = base, model, num_ctx
-
-    def complete(self, system: Column, user: Column) -> Column:
-        base, model, num_ctx = self.base, self.model, self.num_ctx
-
-        @F.pandas_udf("string")
-        def ask(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            for s, u in parts:
-                yield pd.Series([post_chat(base, model, a, b, num_ctx) for a, b in zip(s, u, strict=True)], dtype=object)
+class HttpChat(Journaled):
+    """A chat server.  A nondeterministic function, so that the optimizer never asks twice; callers write its answers before using them."""
 
-        return ask.asNondeterministic()(system, user)
+    def __init__(self, base: str, model: str, num_ctx: int, journal: Journal) -> None:
+        super().__init__(f"{base} {model} {num_ctx}", lambda system, user: post_chat(base, model, system, user, num_ctx), journal)

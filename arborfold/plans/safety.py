@@ -9,6 +9,8 @@ import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
+from arborfold.plans.lease import Lease, LeaseHeld, lease
+
 LOCK_NAME = ".arborfold.lock"
 
 
@@ -65,19 +67,13 @@ def ensure_lock_is_ignored(root: str | Path) -> None:
 
 
 @contextlib.contextmanager
-def lock(root: str | Path) -> Iterator[None]:
-    path = Path(root, LOCK_NAME)
-    try:
-        handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o644)
-    except FileExistsError as e:
-        raise LockHeld(f"{path} exists: another run is on") from e
+def lock(root: str | Path, ttl: float = 60) -> Iterator[Lease]:
+    """The only run on root.  A holder that has died, and so has not touched its lease for ttl seconds, is passed over."""
     try:
-        with os.fdopen(handle, "w") as f:
-            f.write(str(os.getpid()))
-        yield
-    finally:
-        with contextlib.suppress(FileNotFoundError):
-            path.unlink()
+        with lease(str(Path(root, LOCK_NAME)), 1, ttl, wait=0) as held:
+            yield held
+    except LeaseHeld as e:
+        raise LockHeld(f"{Path(root, LOCK_NAME)} is held: another run is on") from e
 
 
 def run_git(root: str | Path, *args: str) -> str:

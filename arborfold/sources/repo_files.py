@@ -1,8 +1,10 @@
-"""A data source for file trees: `spark.read.format("repo_files")`, a partition for each directory with files.
+"""A data source for file trees: `spark.read.format("repo_files")`, partitions of at most 32 MB or one file.
 
-Ignored directories are pruned while partitions are planned, so nothing below them is read.  Names beginning with `_`
-are read like any others.  A file that cannot be read is a row with an error.  The root must be a folder that driver
-and executors see alike.
+Ignored directories are pruned while partitions are planned, so nothing below them is read.  Filters on the path
+(equality, IN, a prefix) are pushed down: other directories are not even listed, and other files not read.  Names
+beginning with `_` are read like any others.  A file that cannot be read is a row with an error.  The root must be a
+folder that driver and executors see alike.  Planning lists on the driver; for trees that are too large for that, and
+for updates, see listing.py and files.py.
 """
 
 from __future__ import annotations
@@ -11,10 +13,10 @@ import codecs
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
 from arborfold.functions.paths import ignored_by
 from arborfold.plans.safety import read_inside
@@ -43,7 +45,7 @@ def read_ignore_file(root: str) -> list[str]:
         return []
 
 
-class _Folder(InputPartition):
+class _Files(InputPartition):
     def __init__(self, names: list[str]) -> None:
         self.names = names
 
@@ -51,24 +53,45 @@ class _Folder(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, root: str, rules: list[str]) -> None:
         self.root, self.rules = root, rules
+        self.asked: set[str] | None = None
+        self.prefix = ""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("path",):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.asked = values if self.asked is None else self.asked & values
+            elif isinstance(f, StringStartsWith) and f.attribute == ("path",) and f.value.startswith(self.prefix):
+                self.prefix = f.value
+            else:
+                yield f
+
+    def _wanted(self, path: str) -> bool:
+        return path.startswith(self.prefix) and (self.asked is None or path in self.asked)
+
+    def _leads(self, directory: str) -> bool:
+        """Whether something that is asked for may lie below."""
+        below = directory + "/"
+        return (below.startswith(self.prefix) or self.prefix.startswith(below)) and (self.asked is None or any(a.startswith(below) for a in self.asked))
 
     def partitions(self) -> list[InputPartition]:
-        out, test = [], ignored_by(self.rules)
-
-        def fail(e: OSError) -> None:
-            raise e
-
-        for here, dirs, names in os.walk(self.root, onerror=fail):
-            at = os.path.relpath(here, self.root).replace(os.sep, "/")
-            under = "" if at == "." else at + "/"
-            links = [d for d in dirs if os.path.islink(os.path.join(here, d))]  # listed as files, never entered
-            # a rule for directories names what lies below, so a directory is tested as such
-            dirs[:] = sorted(d for d in dirs if d not in links and not test(under + d) and not test(f"{under}{d}/x"))
-            if own := sorted(under + n for n in [*names, *links] if not test(under + n)):
-                out.append(_Folder(own))
-        return out or [_Folder([])]
-
-    def read(self, partition: _Folder) -> Iterator[tuple]:
+        from arborfold.sources.listing import entries
+
+        out, test, todo = [_Files([])], ignored_by(self.rules), ["."]
+        size = 0
+        while todo:
+            files, dirs = entries(self.root, todo.pop(), test)
+            todo.extend(d for d in reversed(dirs) if self._leads(d))
+            for path, n, *_ in files:
+                if self._wanted(path):
+                    if out[-1].names and size + n > 32 << 20:
+                        out.append(_Files([]))
+                        size = 0
+                    out[-1].names.append(path)
+                    size += n
+        return out
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
         for path in partition.names:
             try:
                 data = read_inside(self.root, path)
@@ -90,5 +113,7 @@ class RepoFiles(DataSource):
 
 
 def repo_files(spark: SparkSession, root: str, rules: list[str]) -> DataFrame:
+    """(path, sha256, content, error) of all files of root that are not ignored."""
     spark.dataSource.register(RepoFiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("repo_files").option("rules", json.dumps(rules)).load(root)

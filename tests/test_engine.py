@@ -279,7 +279,7 @@ def test_state(spark, tmp_path):
     back = state.from_json(state.to_json(s))
     assert back.files.collect() == files.collect() and back.steps_hash == "steps"
     assert state.from_json(spark.createDataFrame([("{}",)], "json string")).files.isEmpty()
-    store.pointer.write_text("{}")
+    store._create(store.numbers()[-1] + 1, {})
     assert store.exists() and store.load().files.isEmpty()
 
 
