@@ -76,7 +76,7 @@ def synthesise(dirs: DataFrame, facts: DataFrame, known: DataFrame, backend: Bac
     todo = saved(dirs.select("path"))
     parent = F.when(F.col("path") != ".", directory(F.col("path")))
     children = todo.select("path", parent.alias("parent")).join(todo.select(F.col("path").alias("parent")), "parent", "left_semi")
-    waiting, made, items = todo, None, None
+    waiting, done_with, made, items = todo, None, None, None
     while True:
         # begun: those waiting without a child that is not done
         open_children = children if made is None else children.join(made.select("path"), "path", "left_anti")
@@ -91,7 +91,8 @@ def synthesise(dirs: DataFrame, facts: DataFrame, known: DataFrame, backend: Bac
         ended, left = reduce_once(active, budget, ask)
         ended = saved(bare.union(ended.select(F.col("grp").alias("path"), F.col("text").alias("summary"))))
         made = ended if made is None else made.union(ended)
-        waiting = saved(waiting.join(begun, "path", "left_anti"))
+        done_with = begun if done_with is None else done_with.union(begun)
+        waiting = todo.join(done_with, "path", "left_anti")
         items = left.select("grp", F.struct(F.col("ord").alias("kind"), F.lit("").alias("name")).alias("ord"), "text")
-        if waiting.isEmpty() and items.isEmpty():
+        if items.isEmpty() and waiting.isEmpty():
             return made

@@ -90,29 +90,31 @@ def _numbered(points: DataFrame, starts: DataFrame, budget: int) -> DataFrame:
 
 
 def pack(parts: DataFrame, budget: int) -> DataFrame:
-    """(grp, ord, sub, len, at, batch) of parts (grp, ord, sub, len): place in the group from 1, and batch from 0.
+    """(grp, ord, sub, len, batch) of parts (grp, ord, sub, len); batches are numbered from 0 in each group.
 
     Lengths over the budget count as the budget; expand() leaves none.  Empty parts go with what is before them.
     """
     own = F.least("len", F.lit(budget))
-    placed = saved(running(parts.select("grp", "ord", "sub", "len"), ["grp"], ["ord", "sub"], at=F.lit(1), p=own))
+    parts = parts.select("grp", "ord", "sub", "len")
+    longest = parts.groupBy("grp").agg(F.sum(own.cast("long")).alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= budget:  # each group is one batch
+        return parts.withColumn("batch", F.lit(0))
+    placed = saved(running(parts, ["grp"], ["ord", "sub"], p=own))
     # the code point that decides: an item's first, or for empty ones the one before
     placed = placed.withColumn("point", F.when(F.col("len") > 0, F.col("p")).otherwise(F.col("p") - 1))
-    cells = (placed.agg(F.max(F.floor((F.col("p") + own - 1) / budget))).first()[0] or 0) + 1
-    if cells <= 1:  # each group is one batch
-        return placed.select("grp", "ord", "sub", "len", (F.col("at") + 1).cast("int").alias("at"), F.lit(0).alias("batch"))
     full = placed.filter("len > 0").select("grp", "p", (F.col("p") + own).alias("e"))
-    numbered = _numbered(placed.select("grp", F.col("point").alias("at")).distinct(), saved(_starts(full, budget, cells)), budget)
+    starts = saved(_starts(full, budget, (longest - 1) // budget + 1))
+    numbered = _numbered(placed.select("grp", F.col("point").alias("at")).distinct(), starts, budget)
     numbered = numbered.select(F.col("grp").alias("g"), F.col("at").alias("q"), "batch")
     out = placed.join(numbered, F.col("grp").eqNullSafe(F.col("g")) & (F.col("point") == F.col("q")))
-    return out.select("grp", "ord", "sub", "len", (F.col("at") + 1).cast("int").alias("at"), F.col("batch").cast("int").alias("batch"))
+    return out.select("grp", "ord", "sub", "len", F.col("batch").cast("int").alias("batch"))
 
 
 def batches(parts: DataFrame, packed: DataFrame) -> DataFrame:
     """(grp, batch, joined, len) of parts and where pack() puts them; a batch is bounded by the budget."""
-    where = packed.select(F.col("grp").alias("g"), F.col("ord").alias("o"), F.col("sub").alias("s"), "at", "batch")
+    where = packed.select(F.col("grp").alias("g"), F.col("ord").alias("o"), F.col("sub").alias("s"), "batch")
     placed = parts.join(where, F.col("grp").eqNullSafe(F.col("g")) & F.col("ord").eqNullSafe(F.col("o")) & (F.col("sub") == F.col("s")))
-    return placed.groupBy("grp", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), SEPARATOR).alias("joined"), F.sum("len").alias("len"))
+    return placed.groupBy("grp", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "sub", "text"))), lambda x: x["text"]), SEPARATOR).alias("joined"), F.sum("len").alias("len"))
 
 
 def reduce_once(items: DataFrame, budget: int, reducer: Reducer) -> tuple[DataFrame, DataFrame]:
@@ -125,9 +127,8 @@ def reduce_once(items: DataFrame, budget: int, reducer: Reducer) -> tuple[DataFr
     out = saved(got.withColumn("out", reducer(F.col("grp"), F.col("joined"))).select("grp", "batch", "out", "len"))
     per = out.groupBy("grp").agg(F.count("*").alias("n"), F.sum("len").alias("taken"), F.sum(F.char_length("out")).alias("made"))
     stop = (F.col("n") == 1) | (F.col("made") >= F.expr("taken * 95 div 100"))
-    per = saved(per.select("grp", stop.alias("stop")))
-    done = out.join(per.filter("stop"), "grp", "left_semi").groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "out"))), lambda x: x["out"]), SEPARATOR).alias("text"))
-    return done, out.join(per.filter("not stop"), "grp", "left_semi").select("grp", F.col("batch").alias("ord"), F.col("out").alias("text"))
+    done = out.join(per.filter(stop), "grp", "left_semi").groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "out"))), lambda x: x["out"]), SEPARATOR).alias("text"))
+    return done, out.join(per.filter(~stop), "grp", "left_semi").select("grp", F.col("batch").alias("ord"), F.col("out").alias("text"))
 
 
 def reduce_items(items: DataFrame, budget: int, reducer: Reducer) -> DataFrame:

@@ -8,6 +8,7 @@ is 0: so all three kinds of change occur.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,17 +16,21 @@ from pyspark.sql import functions as F
 
 from arborfold.config import Config, Step
 from arborfold.functions import paths, text
-from arborfold.operators import facts, reduce, tree
+from arborfold.operators import facts, prefix, reduce, tree
 from arborfold.plans import state as kept
 from arborfold.plans.backends import Digest, Echo
-from arborfold.plans.pipeline import MARKER, global_prompts, reduce_tree
+from arborfold.plans.pipeline import MARKER, facts_of, global_prompts, reduce_tree
+from arborfold.plans.scratch import folder
+from arborfold.sources.files import TableFiles
+from arborfold.sources.listing import in_order, listing
 from arborfold.sources.tables import document_files
+from arborfold.sources.text_tree import write_tree
 
 NUM_CTX = 512
 LIMIT = text.file_budget(NUM_CTX)
 OVERLAP = text.overlap_of(LIMIT)
 BUDGET = text.reduce_budget(NUM_CTX)
-CONFIG = replace(Config(), num_ctx=1_000_000, system_prompt="S", module_synthesis_prompt="M", architecture_prompt="A", file_fact_consolidation_prompt="C", extraction_steps=(Step("ONE", "p1"), Step("TWO", "p2")))
+CONFIG = replace(Config(), num_ctx=NUM_CTX, system_prompt="S", module_synthesis_prompt="M", architecture_prompt="A", file_fact_consolidation_prompt="C", extraction_steps=(Step("ONE", "p1"), Step("TWO", "p2")))
 RULES = ["*_7.txt", "src3/", "src1*/de", "!src11/de", "doc_1?.txt"]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -75,10 +80,13 @@ def scan_files(spark: SparkSession, sf: str) -> DataFrame:
     return document_files(spark, sf).select("path", paths.directory(F.col("path")).alias("dir"), paths.base_name(F.col("path")).alias("name"), F.char_length("content").cast("long").alias("n_chars"))
 
 
-@query(f"WITH {ODD} SELECT path FROM odd WHERE NOT ({IGNORED})")
+@query(rf"""WITH {ODD}, r AS (SELECT path FROM odd WHERE NOT ({IGNORED}) AND NOT regexp_matches(path, '^src3/|^src1[^/]*/de/') OR regexp_matches(path, '^src11/de/') AND NOT ({IGNORED}))
+SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS ord FROM r""")
 def discover_files(spark, sf):
-    f = _odd_paths(spark, sf)
-    return f.filter(~paths.ignored(F.col("path"), RULES)).select("path")
+    """A real tree, written by the sink and listed by the source, in the order of a walk."""
+    root = f"{folder(spark).removeprefix('file://').removeprefix('file:')}/tree-{uuid.uuid4().hex}"
+    write_tree(_odd_paths(spark, sf).select("path", F.lit("").alias("content")), root)
+    return in_order(listing(spark, root, RULES).select("path"))
 
 
 @query(f"WITH {FILES} SELECT path, sha256 FROM f")
@@ -164,24 +172,24 @@ def snapshot_diff(spark, sf):
     return tree.changes(_present(spark, sf), _known(spark, sf))
 
 
-@query(f"WITH {CUR} SELECT c.path, o.sha256 IS NOT NULL AS hit, CASE WHEN o.sha256 IS NOT NULL THEN 'facts of ' || c.path END AS facts FROM cur c LEFT JOIN old o ON c.path = o.path AND c.sha256 = o.sha256")
-def cache_hit_join(spark, sf):
-    known = _known(spark, sf).withColumn("hit", F.lit(True))
-    return _present(spark, sf).select("path", "sha256").join(known, ["path", "sha256"], "left").select("path", F.coalesce("hit", F.lit(False)).alias("hit"), "facts")
+def _update(spark, sf):
+    """An update of the present files, given the facts of the older ones and summaries of its directories and others."""
+    own = tree.directories(document_files(spark, sf)).select("path")
+    modules = own.union(own.filter("path <> '.'").select(F.concat("path", F.lit("_gone")))).select("path", F.lit("s").alias("summary"))
+    state = kept.State(_known(spark, sf), modules, text.steps_hash(CONFIG.steps))
+    return reduce_tree(_present(spark, sf), state, CONFIG, Digest())
 
 
-@query(f"WITH {CUR} SELECT path, sha256 FROM old SEMI JOIN cur USING (path)")
+@query(f"WITH {CUR} SELECT path, sha256 FROM old ANTI JOIN cur USING (path)")
 def prune_files_state(spark, sf):
-    return _known(spark, sf).join(_present(spark, sf).select("path"), "path", "left_semi").select("path", "sha256")
+    """The files whose facts an update drops."""
+    return _known(spark, sf).select("path", "sha256").join(_update(spark, sf).delta.gone["files"], "path", "left_semi")
 
 
-@query(f"WITH {FILES}, m AS (SELECT DISTINCT dir AS path FROM f UNION SELECT DISTINCT dir || '_gone' FROM f) SELECT path, EXISTS (SELECT 1 FROM f WHERE dir = m.path) AS keep FROM m")
+@query(f"WITH {CUR}, {DIRS.format('f')}, live AS (SELECT DISTINCT unnest(['.', split_part(path, '/', 1), dir]) AS path FROM cur), m AS (SELECT path FROM dirs UNION SELECT path || '_gone' FROM dirs WHERE path <> '.') SELECT path FROM m ANTI JOIN live USING (path)")
 def prune_modules_state(spark, sf):
-    f = document_files(spark, sf)
-    own = f.select(paths.directory(F.col("path")).alias("path")).distinct()
-    modules = own.union(own.select(F.concat("path", F.lit("_gone"))))
-    live = tree.directories(f).select("path", F.lit(True).alias("keep"))
-    return modules.join(live, "path", "left").select("path", F.coalesce("keep", F.lit(False)).alias("keep"))
+    """The directories whose summaries an update drops."""
+    return _update(spark, sf).delta.gone["modules"]
 
 
 def _all(dirs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -271,20 +279,34 @@ def expand_oversize(spark, sf):
     return reduce.expand(_doc_items(spark, sf), BUDGET)
 
 
-def _packed(n: int) -> str:
-    """Greedy packing of items i<n> as a recursive table p<n>."""
-    return f"""e{n} AS MATERIALIZED (SELECT grp, t, row_number() OVER (PARTITION BY grp ORDER BY ord, sub) AS pos FROM {_expanded(f'i{n}')}),
-p{n} AS (SELECT grp, pos, t, 0 AS batch, length(t) AS size FROM e{n} WHERE pos = 1 UNION ALL
-  SELECT e.grp, e.pos, e.t, CASE WHEN p.size + length(e.t) > {BUDGET} THEN p.batch + 1 ELSE p.batch END, CASE WHEN p.size + length(e.t) > {BUDGET} THEN length(e.t) ELSE p.size + length(e.t) END FROM p{n} p JOIN e{n} e ON e.grp = p.grp AND e.pos = p.pos + 1),
-b{n} AS MATERIALIZED (SELECT grp, batch, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS joined, SUM(length(t)) AS len FROM p{n} GROUP BY grp, batch)"""
+def _packed(x: str) -> str:
+    """Greedy packing of items i<x> (grp, ord, t) as a recursive table p<x>, and its batches b<x>."""
+    return f"""e{x} AS MATERIALIZED (SELECT grp, t, row_number() OVER (PARTITION BY grp ORDER BY ord, sub) AS pos FROM {_expanded(f'i{x}')}),
+p{x} AS (SELECT grp, pos, t, 0 AS batch, length(t) AS size FROM e{x} WHERE pos = 1 UNION ALL
+  SELECT e.grp, e.pos, e.t, CASE WHEN p.size + length(e.t) > {BUDGET} THEN p.batch + 1 ELSE p.batch END, CASE WHEN p.size + length(e.t) > {BUDGET} THEN length(e.t) ELSE p.size + length(e.t) END FROM p{x} p JOIN e{x} e ON e.grp = p.grp AND e.pos = p.pos + 1),
+b{x} AS MATERIALIZED (SELECT grp, batch, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS joined, SUM(length(t)) AS len FROM p{x} GROUP BY grp, batch)"""
+
+
+def _reduced(x: str, answer: str, rounds: int = 4) -> str:
+    """Rounds of reduction of items i<x>0 (grp, ord, t), unrolled: a table r<x> (grp, t).  answer: SQL of grp and joined."""
+    out, done = [], []
+    for k in range(rounds):
+        y = f"{x}{k}"
+        out.append(_packed(y))
+        stop = "COUNT(*) OVER w = 1 OR SUM(length(t)) OVER w >= CAST(SUM(len) OVER w AS BIGINT) * 95 // 100"
+        out.append(f"a{y} AS MATERIALIZED (SELECT *, {stop} AS stop FROM (SELECT grp, batch AS ord, {answer} AS t, len FROM b{y}) WINDOW w AS (PARTITION BY grp))")
+        out.append(f"i{x}{k + 1} AS (SELECT grp, ord, t FROM a{y} WHERE NOT stop)")
+        done.append(f"SELECT grp, string_agg(t, chr(10) || chr(10) ORDER BY ord) AS t FROM a{y} WHERE stop GROUP BY grp")
+    return ",\n".join([*out, f"r{x} AS MATERIALIZED ({' UNION ALL '.join(done)})"])
 
 
-@query(f"WITH RECURSIVE {DOC_ITEMS}, {_packed(0)} SELECT grp, CAST(pos AS INTEGER) AS pos, CAST(batch AS INTEGER) AS batch, CAST(length(t) AS INTEGER) AS len FROM p0")
+@query(f"WITH RECURSIVE {DOC_ITEMS}, {_packed('0')} SELECT grp, CAST(pos AS INTEGER) AS pos, CAST(batch AS INTEGER) AS batch, CAST(length(t) AS INTEGER) AS len FROM p0")
 def greedy_batches(spark, sf):
-    return reduce.pack(reduce.expand(_doc_items(spark, sf), BUDGET), BUDGET).select("grp", F.col("at").alias("pos"), "batch", "len")
+    packed = prefix.running(reduce.pack(reduce.expand(_doc_items(spark, sf), BUDGET), BUDGET), ["grp"], ["ord", "sub"], before=F.lit(1))
+    return packed.select("grp", (F.col("before") + 1).cast("int").alias("pos"), "batch", "len")
 
 
-@query(f"WITH RECURSIVE {DOC_ITEMS}, {_packed(0)} SELECT grp, COUNT(*) AS batches, sha256(string_agg(joined, chr(10) || chr(10) ORDER BY batch)) AS text_sha256 FROM b0 GROUP BY grp")
+@query(f"WITH RECURSIVE {DOC_ITEMS}, {_packed('0')} SELECT grp, COUNT(*) AS batches, sha256(string_agg(joined, chr(10) || chr(10) ORDER BY batch)) AS text_sha256 FROM b0 GROUP BY grp")
 def loop_guard(spark, sf):
     """The echo never condenses: the guard ends each group after one round."""
     items = _doc_items(spark, sf)
@@ -296,7 +318,7 @@ def loop_guard(spark, sf):
 _SUMMED = "sha256('S' || chr(31) || joined)"
 
 
-@query(f"""WITH RECURSIVE {DOC_ITEMS}, {_packed(0)}, i1 AS (SELECT grp, batch AS ord, {_SUMMED} AS t FROM b0), {_packed(1)}, i2 AS (SELECT grp, batch AS ord, {_SUMMED} AS t FROM b1), {_packed(2)},
+@query(f"""WITH RECURSIVE {DOC_ITEMS}, {_packed('0')}, i1 AS (SELECT grp, batch AS ord, {_SUMMED} AS t FROM b0), {_packed('1')}, i2 AS (SELECT grp, batch AS ord, {_SUMMED} AS t FROM b1), {_packed('2')},
 n AS (SELECT grp, (SELECT COUNT(*) FROM b0 WHERE b0.grp = g.grp) AS n0, (SELECT COUNT(*) FROM b1 WHERE b1.grp = g.grp) AS n1, (SELECT COUNT(*) FROM b2 WHERE b2.grp = g.grp) AS n2 FROM (SELECT DISTINCT grp FROM i0) g)
 SELECT grp, CASE WHEN n0 = 1 THEN (SELECT MIN({_SUMMED}) FROM b0 WHERE b0.grp = n.grp) WHEN n1 = 1 THEN (SELECT MIN({_SUMMED}) FROM b1 WHERE b1.grp = n.grp) WHEN n2 = 1 THEN (SELECT MIN({_SUMMED}) FROM b2 WHERE b2.grp = n.grp) END AS text FROM n""")
 def reduce_fixpoint(spark, sf):
@@ -328,23 +350,40 @@ def extraction_prompts(spark, sf):
     return facts.prompts(document_files(spark, sf), STEPS, "S", NUM_CTX)
 
 
+_MERGED = "sha256('C' || chr(31) || 'Consolidate and deduplicate the extracted facts for ' || grp.path || ' regarding step ' || chr(39) || grp.step || chr(39) || ':' || chr(10) || joined)"
+#: fc: an answer for each file and step; fa: the facts of each file.
+FACTS = f"""{ASKED}, an AS MATERIALIZED (SELECT path, dir, step_ord, step, idx, n_chunks, {ANSWER} AS fact FROM a),
+ix0 AS (SELECT {{'path': path, 'step_ord': step_ord, 'step': step}} AS grp, idx AS ord, fact AS t FROM an WHERE n_chunks > 1),
+{_reduced("x", _MERGED)},
+fc AS MATERIALIZED (SELECT path, step_ord, step, fact FROM an WHERE n_chunks = 1 UNION ALL SELECT grp.path, grp.step_ord, grp.step, t FROM rx),
+fa AS MATERIALIZED (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '[^/]*$') AS name, rtrim(string_agg('#### [' || step || ']' || chr(10) || fact || chr(10) || chr(10), '' ORDER BY step_ord), chr(10)) AS facts FROM fc GROUP BY path)"""
+
+
 def _consolidated(spark, sf) -> DataFrame:
-    """Whole files.  The longest need several batches and rounds, which SQL can't say; tests hold them against a loop."""
+    """Whole files.  The longest need several batches and rounds; tests hold them against a loop, too."""
     asked = facts.prompts(document_files(spark, sf), STEPS, "S", NUM_CTX)
     answers = asked.withColumn("fact", text.strip_fence(Digest().complete(F.col("system"), F.col("user")))).drop("system", "user")
     return facts.consolidate(answers, Digest(), "C", NUM_CTX)
 
 
-@query()
+@query(f"WITH RECURSIVE {FILES}, {CHUNKS}, {FACTS} SELECT path, CAST(step_ord AS INTEGER) AS step_ord, step, fact FROM fc")
 def fact_consolidation(spark, sf):
     return _consolidated(spark, sf)
 
 
-@query()
+@query(f"WITH RECURSIVE {FILES}, {CHUNKS}, {FACTS} SELECT path, facts FROM fa")
 def facts_assembly(spark, sf):
     return facts.assemble(_consolidated(spark, sf))
 
 
+@query(f"WITH RECURSIVE {CUR}, {CHUNKS}, {FACTS} SELECT c.path, c.sha256, o.sha256 IS NOT NULL AS hit, CASE WHEN o.sha256 IS NOT NULL THEN 'facts of ' || c.path ELSE facts END AS facts FROM cur c JOIN fa USING (path) LEFT JOIN old o ON c.path = o.path AND c.sha256 = o.sha256")
+def cache_hit_join(spark, sf):
+    """Facts of all files: those of the last run where the hash is the same, others extracted."""
+    source = TableFiles(_present(spark, sf))
+    every, made = facts_of(source, source.index, _known(spark, sf), CONFIG, Digest())
+    return every.join(made.select("path", F.lit(False).alias("hit")), "path", "left").select("path", "sha256", F.coalesce("hit", F.lit(True)).alias("hit"), "facts")
+
+
 @query(f"WITH {FILES}, o AS (SELECT dir, 0 AS kind, 'doc_' || doc_id || '.txt' AS name, '### File: doc_' || doc_id || '.txt' || chr(10) || sha256 AS text FROM f WHERE doc_id % 7 <> 0), d AS (SELECT DISTINCT dir FROM f), u AS (SELECT split_part(dir, '/', 1) AS dir, 1 AS kind, split_part(dir, '/', 2) AS name, '### Subsystem: ' || split_part(dir, '/', 2) || chr(10) || 'sum of ' || dir AS text FROM d WHERE NOT ends_with(dir, 'fr')) SELECT * FROM o UNION ALL SELECT * FROM u")
 def component_assembly(spark, sf):
     f = document_files(spark, sf)
@@ -353,19 +392,30 @@ def component_assembly(spark, sf):
     return facts.components(own, kids)
 
 
-_UNCHUNKED = "a AS (SELECT path, dir, 'doc_' || doc_id || '.txt' AS name, sha256('S' || chr(10) || 'p1' || chr(31) || u) AS f1, sha256('S' || chr(10) || 'p2' || chr(31) || u) AS f2 FROM (SELECT *, 'File: doc_' || doc_id || '.txt inside Module: ' || dir || chr(10) || '```' || chr(10) || content || chr(10) || '```' AS u FROM f))"
-MODULES = f"""{_UNCHUNKED}, m2 AS (SELECT dir AS path, sha256('S' || chr(10) || 'M' || chr(31) || 'Synthesize architecture for ' || dir || ':' || chr(10) || string_agg('### File: ' || name || chr(10) || '#### [ONE]' || chr(10) || f1 || chr(10) || chr(10) || '#### [TWO]' || chr(10) || f2, chr(10) || chr(10) ORDER BY name)) AS summary FROM a GROUP BY dir),
-m1 AS (SELECT split_part(path, '/', 1) AS path, sha256('S' || chr(10) || 'M' || chr(31) || 'Synthesize architecture for ' || split_part(path, '/', 1) || ':' || chr(10) || string_agg('### Subsystem: ' || split_part(path, '/', 2) || chr(10) || summary, chr(10) || chr(10) ORDER BY split_part(path, '/', 2))) AS summary FROM m2 GROUP BY split_part(path, '/', 1)),
-m0 AS (SELECT '.' AS path, sha256('S' || chr(10) || 'M' || chr(31) || 'Synthesize architecture for .:' || chr(10) || string_agg('### Subsystem: ' || path || chr(10) || summary, chr(10) || chr(10) ORDER BY path)) AS summary FROM m1)"""
+_SYNTHESIS = "sha256('S' || chr(10) || 'M' || chr(31) || 'Synthesize architecture for ' || grp || ':' || chr(10) || joined)"
+
+
+def _level(x: str, below: str) -> str:
+    """Summaries r<x> of the directories above those of r<below>."""
+    parent, name = "CASE WHEN contains(grp, '/') THEN split_part(grp, '/', 1) ELSE '.' END", "regexp_extract(grp, '[^/]*$')"
+    return f"i{x}0 AS (SELECT {parent} AS grp, {name} AS ord, '### Subsystem: ' || {name} || chr(10) || t AS t FROM r{below}),\n{_reduced(x, _SYNTHESIS)}"
+
+
+MODULES = f"""{CHUNKS}, {FACTS},
+iu0 AS (SELECT dir AS grp, name AS ord, '### File: ' || name || chr(10) || facts AS t FROM fa),
+{_reduced("u", _SYNTHESIS)},
+{_level("v", "u")},
+{_level("w", "v")},
+mods AS (SELECT grp AS path, t AS summary FROM ru UNION ALL SELECT grp, t FROM rv UNION ALL SELECT grp, t FROM rw)"""
 
 
-@query(f"WITH {FILES}, {MODULES} SELECT * FROM m2 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m0")
+@query(f"WITH RECURSIVE {FILES}, {MODULES} SELECT path, summary FROM mods")
 def module_synthesis(spark, sf):
-    """The first run from end to end, with a context that takes each file and each directory at once."""
+    """The first run from end to end, with files in many chunks and directories in several batches and rounds."""
     return reduce_tree(document_files(spark, sf), kept.empty(spark), CONFIG, Digest(), full=True).rebuilt
 
 
-@query(f"WITH {FILES}, {MODULES} SELECT p || '.md' AS page, sha256('S' || chr(10) || 'A' || chr(31) || 'Create ' || p || '.md. Base it on the root module summary:' || chr(10) || summary) AS text FROM m0, (SELECT unnest(['architecture', 'quickstart']) AS p)")
+@query(f"WITH RECURSIVE {FILES}, {MODULES} SELECT p || '.md' AS page, sha256('S' || chr(10) || 'A' || chr(31) || 'Create ' || p || '.md. Base it on the root module summary:' || chr(10) || summary) AS text FROM mods, (SELECT unnest(['architecture', 'quickstart']) AS p) WHERE path = '.'")
 def global_pages(spark, sf):
     root = module_synthesis(spark, sf).filter("path = '.'")
     return global_prompts(root, CONFIG).select("page", text.strip_fence(Digest().complete(F.col("system"), F.col("user"))).alias("text"))
@@ -412,7 +462,7 @@ def cache_json_roundtrip(spark, sf):
     return kept.from_json(kept.to_json(state)).files
 
 
-@query(f"WITH {FILES}, {MODULES}, q AS (SELECT * FROM m2 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m0) SELECT path, summary FROM q".replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 0)", 1))
+@query(f"WITH RECURSIVE {FILES}, {MODULES} SELECT path, summary FROM mods".replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 0)", 1))
 def incremental_update(spark, sf):
     """A first run over an older tree, then an update: the summaries equal those of a first run over the present one."""
     old = document_files(spark, sf).filter(_doc_id() % 10 != 2)

@@ -91,9 +91,12 @@ class FolderFiles:
 
     def _dealt(self, files: DataFrame) -> DataFrame:
         """files (path, size) in tasks of about task_bytes, by running totals; a file is worth 4096 bytes at least."""
-        placed = running(files.select("path", "size"), [], ["path"], before=F.greatest("size", F.lit(4096))).withColumn("task", F.floor(F.col("before") / self.task_bytes))
-        tasks = (placed.agg(F.max("task")).first()[0] or 0) + 1
-        return placed.repartition(int(tasks), "task").select("path")
+        worth = F.greatest("size", F.lit(4096))
+        total = files.agg(F.sum(worth)).first()[0] or 0
+        if total <= self.task_bytes:
+            return files.select("path").coalesce(1)
+        placed = running(files.select("path", "size"), [], ["path"], before=worth).withColumn("task", F.floor(F.col("before") / self.task_bytes))
+        return placed.repartition(total // self.task_bytes + 1, "task").select("path")
 
     @cached_property
     def index(self) -> DataFrame:

@@ -7,6 +7,8 @@ staging folder goes.  A path that leads outside `root`, by itself or by a link,
 
 from __future__ import annotations
 
+import contextlib
+import json
 import os
 import shutil
 import uuid
@@ -17,40 +19,51 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from arborfold.plans.safety import resolve_inside, write_atomic
+from arborfold.plans.safety import resolve_inside
 
 
 @dataclass
 class _Staged(WriterCommitMessage):
-    folder: str
+    attempt: str
 
 
 class _Writer(DataSourceWriter):
     def __init__(self, root: str, folder: str) -> None:
         self.root, self.folder = root, folder
-        self.stage = str(Path(folder, f".stage-{uuid.uuid4().hex}"))
+        self.stage = os.path.join(folder, f".stage-{uuid.uuid4().hex}")
+        os.makedirs(self.stage)  # on the driver; no task makes it again once it is gone
+
+    def _target(self, path: str) -> Path:
+        return resolve_inside(self.root, os.path.relpath(os.path.join(self.folder, path.lstrip("/")), self.root))
 
     def write(self, rows: Iterator[Row]) -> _Staged:
-        # an attempt that is repeated has another folder; only those that are reported count
-        mine = Path(self.stage, uuid.uuid4().hex)
-        mine.mkdir(parents=True)
-        for r in rows:
-            resolve_inside(self.root, os.path.relpath(os.path.join(self.folder, r.path.lstrip("/")), self.root))
-            write_atomic(resolve_inside(mine, r.path), r.content.encode())
-        return _Staged(str(mine))
+        # an attempt that is repeated has another name; only those that are reported count
+        attempt = uuid.uuid4().hex
+        with open(os.path.join(self.stage, attempt), "w") as names:
+            for k, r in enumerate(rows):
+                self._target(r.path)
+                with open(os.path.join(self.stage, f"{attempt}.{k}"), "xb") as f:
+                    f.write(r.content.encode())
+                    f.flush()
+                    os.fsync(f.fileno())
+                names.write(json.dumps(r.path) + "\n")
+        return _Staged(attempt)
 
     def commit(self, messages) -> None:
         for m in messages:
-            for here, _, names in os.walk(m.folder):
-                for name in names:
-                    path = os.path.relpath(os.path.join(here, name), m.folder)
-                    target = resolve_inside(self.root, os.path.relpath(os.path.join(self.folder, path), self.root))
+            with open(os.path.join(self.stage, m.attempt)) as names:
+                for k, line in enumerate(names):
+                    target = self._target(json.loads(line))
                     target.parent.mkdir(parents=True, exist_ok=True)
-                    os.replace(os.path.join(here, name), target)
-        shutil.rmtree(self.stage, ignore_errors=True)
+                    os.replace(os.path.join(self.stage, f"{m.attempt}.{k}"), target)
+        self.abort(messages)
 
     def abort(self, messages) -> None:
-        shutil.rmtree(self.stage, ignore_errors=True)
+        # renamed first: tasks that are still running find no folder to write to
+        gone = os.path.join(self.folder, f".gone-{uuid.uuid4().hex}")
+        with contextlib.suppress(FileNotFoundError):
+            os.rename(self.stage, gone)
+        shutil.rmtree(gone, ignore_errors=True)
 
 
 class TextTree(DataSource):

@@ -23,16 +23,16 @@ def check(spark, groups, budget):
     random.Random(0).shuffle(rows)
     got = {}
     for r in reduce.pack(spark.createDataFrame(rows, "grp string, ord int, sub int, len int"), budget).collect():
-        got.setdefault(r.grp, []).append((r.at, r.ord, r.batch))
+        got.setdefault(r.grp, []).append((r.ord, r.batch))
     for g, lengths in groups.items():
-        assert sorted(got.pop(g)) == [(i + 1, i, b) for i, b in enumerate(greedy(lengths, budget))], (g, lengths, budget)
+        assert sorted(got.pop(g)) == [(i, b) for i, b in enumerate(greedy(lengths, budget))], (g, lengths, budget)
     assert not got
 
 
-@pytest.mark.parametrize("budget", [1, 7, 40])
+@pytest.mark.parametrize("budget", [1, 40])
 def test_random_groups(spark, budget):
     rng = random.Random(budget)
-    groups = {f"g{k}": [rng.randrange(budget + 1) for _ in range(rng.randrange(1, 60))] for k in range(25)}
+    groups = {f"g{k}": [rng.randrange(budget + 1) for _ in range(rng.randrange(1, 60))] for k in range(15)}
     groups |= {"even": [max(1, budget // 4)] * 90, "empty": [0] * 7, "ends empty": [budget, 0, 0], "begins empty": [0, 0, budget, 1], "full": [budget] * 20, None: [1, budget, 1]}
     check(spark, groups, budget)
 
