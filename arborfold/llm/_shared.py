@@ -107,11 +107,13 @@ def _marked(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     return perhaps(df.select(F.struct(F.col("*")).alias("_row"), key.alias("_k")), F.col("_k"), keys, "_row")
 
 
-def joined(df: DataFrame, key: Column, table: DataFrame) -> DataFrame:
-    """(_row, the other columns of table) for the rows of df whose key is in table's first column."""
+def joined(df: DataFrame, key: Column, table: DataFrame, once: bool = False) -> DataFrame:
+    """(_row, the other columns of table) for the rows of df whose key is in table's first column; once: one row of df for each of table."""
     first, *others = table.columns
     other = table.select(F.col(first).alias("_other"), *others).hint("merge")
-    return _marked(df, key, table.select(first)).filter("_in").join(other, F.col("_key") == F.col("_other")).select("_row", *others)
+    out = _marked(df, key, table.select(first)).filter("_in").join(other, F.col("_key") == F.col("_other"))
+    # rows of a key are together already: no exchange
+    return (out.dropDuplicates(["_other", *others]) if once else out).select("_row", *others)
 
 
 def having(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:

@@ -142,10 +142,10 @@ def _probe(k: int, cut: tuple[int, int]):
     a, b = cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[int, np.ndarray] = {}
         size = 0
 
-        def of(node: bytes, text: str) -> np.ndarray:
+        def of(node: int, text: str) -> np.ndarray:
             nonlocal size
             if (s := known.get(node)) is None:
                 data = np.frombuffer(text.encode(), np.uint8)
@@ -166,7 +166,7 @@ def _probe(k: int, cut: tuple[int, int]):
                         known.clear()
                         size = 0
                 keep = pa.array(out)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()).filter(keep), pa.array(y, pa.binary()).filter(keep)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()).filter(keep), pa.array(y, pa.int64()).filter(keep)], names=["a", "b"])
 
     return run
 
@@ -210,7 +210,10 @@ def _grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), f
     # a node's entries in one row, as many as its text has short lists: labels are joined to nodes, not to entries
     lists = lists.groupBy("node").agg(F.collect_list("e").alias("e")).withColumn("m", F.size("e"))
     lists = lists.withColumn("e", F.transform(F.filter("e", lambda x: F.col("m") >= x["least"]), lambda x: F.struct(x["token"].alias("token"), x["l"].alias("l")))).filter(F.size("e") > 0)
-    lists = saved(lists.select("node", _size("node").alias("n"), "m", "e"))
+    # numbered as they are written: from here on a node is its number, half as long and mostly zeros
+    lists = saved(lists.select("node", _size("node").alias("n"), "m", "e").withColumn("id", F.monotonically_increasing_id()))
+    ids = lists.select("node", "id")
+    lists = lists.select(F.col("id").alias("node"), "n", "m", "e")
 
     cls = F.floor(F.log("n") / float(np.log(down / up)))
 
@@ -228,18 +231,18 @@ def _grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), f
 
     # the whole text of one document of each node that is in some pair
     names = each.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("one"))
+    listed = names.join(ids, "node").select(F.col("id").alias("node"), "one")
 
     def linked(pairs: DataFrame) -> DataFrame:
         inside = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = saved(names.join(inside, "node").select(F.struct("one.doc_id", "one.th").alias("key"), "node"))
-        texts = joined(docs, F.struct("doc_id", "th"), wanted)
-        texts = saved(texts.select("node", F.col("_row.text").alias("text")).dropDuplicates(["node"]))
+        wanted = saved(listed.join(inside, "node").select(F.struct("one.doc_id", "one.th").alias("key"), "node"))
+        texts = saved(joined(docs, F.struct("doc_id", "th"), wanted, once=True).select("node", F.col("_row.text").alias("text")))
         full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        out = saved(full.select("a", "b", "text_a", "text_b").mapInArrow(_probe(k, threshold), "a binary, b binary"))
+        out = saved(full.select("a", "b", "text_a", "text_b").mapInArrow(_probe(k, threshold), "a long, b long"))
         forget(texts, wanted)
         return out
 
-    links = docs.sparkSession.createDataFrame([], "a binary, b binary")
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
     root = components(links)
     before = None
     for turn in itertools.count():
@@ -272,7 +275,9 @@ def _grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), f
         if last:
             break
 
-    return each, names.join(root, "node", "left").select("node", "one", F.coalesce("root", "node").alias("c"))
+    # a component is named by its least number, which root does not list; a node that stands in no list by itself
+    found = ids.join(root.select(F.col("node").alias("id"), "root"), "id", "left").select("node", F.coalesce("root", "id").alias("root"))
+    return each, names.join(found, "node", "left").select("node", "one", F.struct("root", F.when(F.col("root").isNull(), F.col("node")).alias("own")).alias("c"))
 
 
 def _of_many(name: DataFrame, value: Column) -> DataFrame:
