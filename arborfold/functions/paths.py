@@ -86,18 +86,28 @@ def ignore_regex(rule: str) -> tuple[str, bool] | None:
     return f"^{'' if anchored else '(?:.*/)?'}{out}{'/.*' if below else '(?:/.*)?'}$", again
 
 
+def _merged(rules: list[str]) -> list[tuple[str, bool]]:
+    """(regular expression, whether it includes again): neighbours of one kind as one expression, so that a path is matched once for each change of kind."""
+    out: list[tuple[list[str], bool]] = []
+    for pattern, again in filter(None, map(ignore_regex, rules)):
+        if out and out[-1][1] == again:
+            out[-1][0].append(pattern)
+        else:
+            out.append(([pattern], again))
+    return [("|".join(x), again) for x, again in out]
+
+
 def ignored(path: Column, rules: list[str]) -> Column:
     """Whether the last matching rule ignores the path, or it is hidden."""
     out = F.lit(False)
-    for rule in rules:
-        if made := ignore_regex(rule):
-            out = F.when(path.rlike(made[0]), F.lit(not made[1])).otherwise(out)
+    for pattern, again in _merged(rules):
+        out = F.when(path.rlike(pattern), F.lit(not again)).otherwise(out)
     return out | hidden(path)
 
 
 def ignored_by(rules: list[str]):
     """The same as a Python predicate, for the scan."""
-    made = [(re.compile(x[0]), x[1]) for x in map(ignore_regex, rules) if x]
+    made = [(re.compile(pattern), again) for pattern, again in _merged(rules)]
 
     def test(path: str) -> bool:
         out = False
@@ -109,7 +119,12 @@ def ignored_by(rules: list[str]):
     return test
 
 
+def never_entered(directory_path: Column, rules: list[str]) -> Column:
+    """Whether a scan leaves the directory out, and with it all that lies below; a rule for directories names what lies below."""
+    return ignored(directory_path, rules) | ignored(F.concat(directory_path, F.lit("/x")), rules)
+
+
 def pruned(path: Column, rules: list[str]) -> Column:
-    """Whether the path or a directory above it is ignored: what lies below an ignored directory never comes back."""
+    """Whether the path or a directory above it is ignored, path by path; unignored() judges each directory once."""
     above = F.filter(ancestors(path), lambda d: d != ".")
-    return F.exists(above, lambda d: ignored(d, rules)) | ignored(path, rules)
+    return F.exists(above, lambda d: never_entered(d, rules)) | ignored(path, rules)

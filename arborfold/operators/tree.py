@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborfold.functions.paths import ancestors, base_name, depth, directory, with_ancestors
+from arborfold.functions.paths import ancestors, base_name, depth, directory, ignored, never_entered, with_ancestors
 
 
 def directories(files: DataFrame) -> DataFrame:
@@ -16,6 +16,19 @@ def directories(files: DataFrame) -> DataFrame:
     return every.select("path", F.when(root, F.lit(None)).otherwise(directory(F.col("path"))).alias("parent"), base_name(F.col("path")).alias("name"), depth(F.col("path")).cast("int").alias("depth"))
 
 
+def unignored(files: DataFrame, rules: list[str]) -> DataFrame:
+    """The rows of files (path, ...) that a scan would find: what lies below an ignored directory never comes back.
+
+    Rules are matched against each directory once, however many files it has; a directory is shut if one at or above it
+    is left out, and files look up their own.
+    """
+    own = files.select(directory(F.col("path")).alias("dir")).filter("dir <> '.'").distinct()
+    above = own.select("dir", F.explode(with_ancestors(F.col("dir"))).alias("up")).filter("up <> '.'")
+    shut = above.select("up").distinct().filter(never_entered(F.col("up"), rules))
+    shut = above.join(shut, "up", "left_semi").select("dir").distinct()
+    return files.join(shut, directory(files["path"]) == shut["dir"], "left_anti").filter(~ignored(F.col("path"), rules))
+
+
 def file_counts(files: DataFrame) -> DataFrame:
     """(path, n_files) of directories with files of their own."""
     return files.groupBy(directory(F.col("path")).alias("path")).agg(F.count("*").alias("n_files"))

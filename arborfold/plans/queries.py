@@ -109,10 +109,10 @@ def ignore_negation(spark, sf):
     return document_files(spark, sf).select("path", paths.ignored(F.col("path"), RULES).alias("ignored"))
 
 
-@query(f"WITH {FILES} SELECT path FROM f WHERE NOT regexp_matches(path, '^src1[^/]*/')")
+@query(rf"WITH {FILES}, {DIRS.format('f')}, shut AS (SELECT path FROM dirs WHERE path <> '.' AND (regexp_matches(path, '^src1[^/]*(/|$)') OR regexp_matches(path, '(^|/)fr(/|$)'))) SELECT path FROM f WHERE dir NOT IN (SELECT path FROM shut) AND split_part(path, '/', 1) NOT IN (SELECT path FROM shut)")
 def prune_subtree(spark, sf):
-    """`!src11/de/*` can't bring back what lies below the ignored src11."""
-    return document_files(spark, sf).filter(~paths.pruned(F.col("path"), ["src1*", "!src11/de/*"])).select("path")
+    """`!src11/de/*` can't bring back what lies below the ignored src11; `fr/` shuts directories of that name anywhere."""
+    return tree.unignored(document_files(spark, sf), ["src1*", "fr/", "!src11/de/*"]).select("path")
 
 
 @query(r"SELECT doc_id, trim(l, E' \t\r') AS line FROM (SELECT doc_id, unnest(string_split(COALESCE(text, ''), chr(10))) AS l FROM documents) WHERE trim(l, E' \t\r') <> '' AND NOT starts_with(trim(l, E' \t\r'), '#')")

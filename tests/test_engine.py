@@ -170,6 +170,18 @@ def test_ignore_rules(spark):
         assert values(spark, [p], lambda x: paths.ignored(x, more)) == [w]
 
 
+def test_unignored(spark):
+    """Directories judged once give what judging every path gives."""
+    rng = random.Random(4)
+    given = ["/".join(rng.choice(["a", "b.c", "src", "fr", "x.egg-info", ".h"]) for _ in range(rng.randrange(1, 5))) + f"/{k}.log" for k in range(150)] + ["top.log", "fr", "keep.log"]
+    df = spark.createDataFrame([(p, i) for i, p in enumerate(given)], "path string, dir int")
+    for rules in ([], ["fr/", "!src/fr/*"], ["*.log", "!keep.log", "b.c"], ["/a", "!/a/b.c", "src/**/fr", "1?.log"]):
+        want = sorted(r.path for r in df.filter(~paths.pruned(F.col("path"), rules)).collect())
+        got = tree.unignored(df, rules)
+        assert got.columns == ["path", "dir"] and sorted(r.path for r in got.collect()) == want
+    assert len(paths._merged(["a", "b/", "!c", "d", "# x"])) == 3
+
+
 def test_prune(spark):
     assert values(spark, ["src1/de/a", "src2/a"], lambda x: paths.pruned(x, ["src1", "!src1/de/a"])) == [True, False]
 
@@ -402,7 +414,36 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         follow(spark.readStream.schema(schema).parquet(src), str(tmp_path / "files"), store, CONFIG, Digest(), str(tmp_path / "cp")).awaitTermination()
 
-    send([("a/1", 1, "x"), ("b/2", 1, "y")])
-    send([("a/1", 2, "z"), ("b/2", 3, None)])
-    want = reduce_tree(files_of(spark, {"a/1": "z"}), state.empty(spark), CONFIG, Digest(), full=True).state
-    assert sorted(store.load().modules.collect()) == sorted(want.modules.collect())
+    send([("a/1", 1, "x"), ("b/2", 1, "y"), ("c/3", 1, "c"), (None, 1, "no path")])
+    send([("a/1", 2, "z"), ("b/2", 3, None), ("a/1", 1, "late within the batch"), ("d/4", 5, None)])
+    # older versions that come late, versions that come twice, a newer one that changes nothing, and one too old to bring a file back
+    send([("a/1", 1, "old"), ("a/1", 2, "other"), ("b/2", 2, "gone already"), ("c/3", 4, "c"), ("c/3", 2, "c2"), ("d/4", 4, "d")])
+    held = lambda d: reduce_tree(files_of(spark, d), state.empty(spark), CONFIG, Digest(), full=True).state
+    want = held({"a/1": "z", "c/3": "c"})
+    assert sorted(store.load().modules.collect()) == sorted(want.modules.select("path", "summary").collect())
+    segments = len(store._entry(store.numbers()[-1])["tables"]["files"])
+    send([("c/3", 5, "c"), ("a/1", 2, "z")])  # nothing changes, nothing is written
+    assert len(store._entry(store.numbers()[-1])["tables"]["files"]) == segments
+    send([("b/2", 4, "back"), ("c/3", 9, "c9")])
+    want = held({"a/1": "z", "b/2": "back", "c/3": "c9"})
+    assert sorted(store.load().modules.collect()) == sorted(want.modules.select("path", "summary").collect())
+    # new steps need contents of files that no batch brings any more
+    other = config.Config(num_ctx=512, extraction_steps=(config.Step("TWO", "p2"),))
+    spark.createDataFrame([("e/5", 1, "e")], schema).coalesce(1).write.mode("append").parquet(src)
+    follow(spark.readStream.schema(schema).parquet(src), str(tmp_path / "files"), store, other, Digest(), str(tmp_path / "cp")).awaitTermination()
+    d = {"a/1": "z", "b/2": "back", "c/3": "c9", "e/5": "e"}
+    want = reduce_tree(files_of(spark, d), state.empty(spark), other, Digest(), full=True).state
+    assert sorted(store.load().modules.collect()) == sorted(want.modules.select("path", "summary").collect())
+
+
+def test_contents_of_many_batches(spark, tmp_path):
+    from arborfold.streaming.watch import Contents
+
+    c, want = Contents(spark, str(tmp_path / "c"), most=3), {}
+    for n in range(9):
+        rows = [(f"p{n % 4}", n, f"text {n}" if n != 6 else None), (f"q{n}", n, "q")]
+        c.add(n, spark.createDataFrame(rows, "path string, version long, content string"))
+        want |= {p: t for p, _, t in rows}
+    every = spark.createDataFrame([(p,) for p in want], "path string")
+    assert {r.path: r.content for r in c.read(every).collect()} == {p: t for p, t in want.items() if t}
+    assert len(c.batches()) <= 6
