@@ -636,6 +636,37 @@ def test_pipeline(spark):
     assert inside == {r.doc_id for r in held[4].collect()}
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, empty, long and repeated texts, clashing columns and empty tables, in each stage by itself."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    rng = random.Random(9)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").filter("length(text) > 60").first().text
+    copy, long = prose(rng, 60), prose(rng, 15_000)
+    given = [(1, None, "en", "src1"), (2, "", "en", "src1"), (None, None, None, None), (3, copy, "en", "src1"), (3, copy, "en", "src1"), (None, copy + " end", "en", None), (4, long, None, "src2"), (5, prose(rng, 30) + f" {item} " + prose(rng, 30), "fr", "src2"), (6, prose(rng, 80), "xx", "src3")]
+    docs = table(spark, given)
+    stages = dict(p.STAGES)
+    assert [k for k, _ in p.STAGES] == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "mixing sources", "token ids"]
+    kept = {}
+    for name, stage in p.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), sf).count() == 0
+        rows = out.collect()
+        assert all(r[c] == "x" for r in rows for c in CLASH)
+        kept[name] = Counter((r.doc_id, r.text) for r in rows)
+        assert kept[name] <= Counter((i, t) for i, t, *_ in given)
+    nothing = {(1, None), (2, ""), (None, None)}
+    assert all(nothing <= set(kept[k]) for k in ("quality classifier", "n-gram Jaccard join", "benchmark decontamination"))
+    assert kept["quality classifier"][3, copy] in (0, 2)
+    every = Counter((i, t) for i, t, *_ in given)
+    assert kept["n-gram Jaccard join"] == every - Counter([(3, copy), (None, copy + " end")])
+    assert kept["benchmark decontamination"] == every - Counter([(5, given[7][1])])
+    assert kept["mixing sources"][3, copy] in (0, 2)
+    packed = stages["token ids"](spark, docs, sf).collect()
+    assert {i for r in packed for i in r.doc_ids} == {None, 3, 4, 5, 6} and stages["token ids"](spark, docs.limit(0), sf).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
