@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +38,12 @@ def reduce_budget(num_ctx: int) -> int:
     return num_ctx * 3
 
 
+def budgets(num_ctx: Column) -> tuple[Column, Column, Column]:
+    """File budget, its overlap, and reduce budget, of a column of context sizes."""
+    limit = F.greatest(num_ctx, F.lit(LEAST_CONTEXT)) * 3
+    return limit, F.least(F.lit(OVERLAP), F.floor(limit / 4).cast("int")), num_ctx * 3
+
+
 def n_chunks(text: Column, limit: int, overlap: int) -> Column:
     if limit <= 0 or overlap >= limit:
         raise ValueError("a chunk must be longer than its overlap")
@@ -44,10 +51,29 @@ def n_chunks(text: Column, limit: int, overlap: int) -> Column:
     return F.when(n <= limit, 1).otherwise(F.ceil((n - limit) / (limit - overlap)) + 1).cast("int")
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value worked out once; a lambda works out again for each element what it refers to."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def chunks(text: Column, limit: int, overlap: int) -> Column:
-    """Overlapping substrings, the last ending with the text; a short text is one chunk."""
+    """Overlapping substrings, the last ending with the text; a short text is one chunk.
+
+    A substring is found by counting code points from the beginning of what it is cut from, so a long text is cut into
+    blocks of 4096 chunks, these into blocks of 64, and only those into chunks.
+    """
     step = limit - overlap
-    return F.transform(F.sequence(F.lit(0), n_chunks(text, limit, overlap) - 1), lambda i: F.substring(text, i * step + 1, F.lit(limit)))
+
+    def cut(piece: Column, count: Column, span: int) -> Column:
+        """The first `count` chunks of piece, which has at most 64 x span of them."""
+        if span == 1:
+            return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(piece, i * step + 1, F.lit(limit)))
+        block = lambda k: F.substring(piece, k * (span * step) + 1, F.lit(span * step + overlap))
+        part = lambda k: _bound(block(k), lambda x: cut(x, F.least(F.lit(span), count - k * span), span // 64))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(count / span).cast("int") - 1), part))
+
+    n = n_chunks(text, limit, overlap)
+    return F.when(n == 1, F.array(text)).otherwise(cut(text, n, 4096))
 
 
 def steps_hash(steps: list[tuple[str, str]]) -> str:

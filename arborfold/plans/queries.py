@@ -237,10 +237,11 @@ def steps_hash(spark, sf):
     return p.select("p_partkey", text.steps_hash_column(steps).alias("steps_hash"))
 
 
-@query("SELECT CAST(n AS INTEGER) AS num_ctx, CAST(greatest(n, 512) * 3 AS INTEGER) AS file_limit, CAST(least(800, greatest(n, 512) * 3 // 4) AS INTEGER) AS overlap, CAST(n * 3 AS INTEGER) AS reduce_limit FROM (SELECT unnest([256, 512, 1024, 8192, 20000]) AS n)")
+@query("SELECT p_partkey, CAST(n AS INTEGER) AS num_ctx, CAST(greatest(n, 512) * 3 AS INTEGER) AS file_limit, CAST(least(800, greatest(n, 512) * 3 // 4) AS INTEGER) AS overlap, CAST(n * 3 AS INTEGER) AS reduce_limit FROM (SELECT p_partkey, CAST(p_size AS INTEGER) * 50 AS n FROM part)")
 def chunk_budget(spark, sf):
-    rows = [(n, text.file_budget(n), text.overlap_of(text.file_budget(n)), text.reduce_budget(n)) for n in (256, 512, 1024, 8192, 20000)]
-    return spark.createDataFrame(rows, "num_ctx int, file_limit int, overlap int, reduce_limit int")
+    """Budgets for a context size from each part's size: some under the least context, some over the largest overlap."""
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", (F.col("p_size").cast("int") * 50).alias("num_ctx"))
+    return p.select("p_partkey", "num_ctx", *(c.alias(n) for c, n in zip(text.budgets(F.col("num_ctx")), ("file_limit", "overlap", "reduce_limit"), strict=True)))
 
 
 _COUNT = f"CASE WHEN length(content) <= {LIMIT} THEN 1 ELSE CAST(ceil((length(content) - {LIMIT}) / {float(LIMIT - OVERLAP)}) AS INTEGER) + 1 END"

@@ -59,6 +59,23 @@ def test_budgets():
     assert got == [(1536, 384, 768), (1536, 384, 1536), (3072, 768, 3072), (24576, 800, 24576), (60000, 800, 60000)]
 
 
+def test_chunks_of_long_texts(spark):
+    """Across the edges of blocks of 64 and of 4096 chunks, in time that does not grow with the square."""
+    text_of = lambda n: "".join(chr(97 + i % 26) for i in range(n)) + "é😀"
+    for n in (64 * 3, 64 * 3 + 1, 64 * 3 - 1, 4096 * 3, 4096 * 3 + 2, 4096 * 3 * 2 + 5):
+        assert values(spark, [text_of(n)], lambda x: text.chunks(x, 5, 2)) == [chunk_model(text_of(n), 5, 2)]
+    long = spark.range(1).select(F.repeat(F.lit("0123456789"), 3_000_000).alias("t"))
+    began = time.time()
+    got = long.select(F.explode(text.chunks(F.col("t"), 1536, 384)).alias("c")).agg(F.count("*"), F.sum(F.length("c"))).first()
+    assert got[0] == -(-(30_000_000 - 1536) // 1152) + 1 and time.time() - began < 60
+
+
+def test_budget_columns(spark):
+    sizes = [1, 256, 511, 512, 513, 1024, 1066, 1067, 8192, 20000]
+    got = spark.createDataFrame([(n,) for n in sizes], "n int").select("n", *text.budgets(F.col("n"))).collect()
+    assert {tuple(r) for r in got} == {(n, text.file_budget(n), text.overlap_of(text.file_budget(n)), text.reduce_budget(n)) for n in sizes}
+
+
 def reduce_model(items, budget, f):
     while True:
         parts = [p for x in items for p in (chunk_model(x, max(budget // 2, 1), budget // 10) if len(x) > budget else [x])]
