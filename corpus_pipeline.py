@@ -51,7 +51,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed rows of 2048 token ids.
 
-    Null and empty texts have no ids; a long text is split without loss over rows of its own and a last part; repeated
+    Null and empty texts are packed by their end id alone; a long text is split without loss over rows of its own and a last part; repeated
     rows and null doc_ids are packed like others; of rows with equal room the first is filled; an empty table gives
     none; other columns are not part of the result.
     """
