@@ -36,14 +36,14 @@ def consolidation(grp: Column, joined: Column) -> Column:
     return F.concat(F.lit("Consolidate and deduplicate the extracted facts for "), grp["path"], F.lit(" regarding step '"), grp["step"], F.lit("':\n"), joined)
 
 
-def consolidate(answers: DataFrame, backend: Backend, prompt: str, num_ctx: int) -> DataFrame:
+def consolidate(answers: DataFrame, backend: Backend, prompt: str, num_ctx: int, log: Log = quiet) -> DataFrame:
     """(path, step_ord, step, fact) of (path, step_ord, step, idx, n_chunks, fact): one answer stays as it is, several are reduced."""
     one = answers.filter("n_chunks = 1").select("path", "step_ord", "step", "fact")
     many = answers.filter("n_chunks > 1")
     if many.isEmpty():
         return one
     items = many.select(F.struct("path", "step_ord", "step").alias("grp"), F.col("idx").alias("ord"), F.col("fact").alias("text"))
-    got = reduce_items(items, reduce_budget(num_ctx), lambda g, joined: strip_fence(backend.complete(F.lit(prompt), consolidation(g, joined))))
+    got = reduce_items(items, reduce_budget(num_ctx), lambda g, joined: strip_fence(backend.complete(F.lit(prompt), consolidation(g, joined))), log, lambda g: g["path"])
     return one.union(got.select("grp.path", "grp.step_ord", "grp.step", F.col("text").alias("fact")))
 
 
@@ -53,7 +53,7 @@ def extract(files: DataFrame, backend: Backend, steps: list[tuple[str, str]], sy
     answers = saved(asked.withColumn("fact", strip_fence(backend.complete(F.col("system"), F.col("user")))).drop("system", "user"))
     chunk = F.when(F.col("n_chunks") > 1, F.concat(F.lit(" (chunk "), F.col("idx") + 1, F.lit(" of "), F.col("n_chunks"), F.lit(")"))).otherwise("")
     log("extracted", answers.select(F.concat("path", F.lit(": step "), F.col("step_ord") + 1, F.lit(f" of {len(steps)}, "), "step", chunk)))
-    return assemble(consolidate(answers, backend, consolidation_prompt, num_ctx))
+    return assemble(consolidate(answers, backend, consolidation_prompt, num_ctx, log))
 
 
 def components(facts: DataFrame, children: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def synthesise(dirs: DataFrame, facts: DataFrame, known: DataFrame, backend: Bac
         log("directory", counts.select(F.concat(F.col("path"), F.lit(": "), F.col("parts"), F.lit(" components"))))
         bare = begun.join(counts.select("path"), "path", "left_anti").select("path", F.lit("").alias("summary"))
         active = new if items is None else new.union(items)
-        ended, left = reduce_once(active, budget, ask)
+        ended, left = reduce_once(active, budget, ask, log)
         ended = saved(bare.union(ended.select(F.col("grp").alias("path"), F.col("text").alias("summary"))))
         made = ended if made is None else made.union(ended)
         done_with = begun if done_with is None else done_with.union(begun)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from arborfold.functions.text import chunks
 from arborfold.operators.prefix import running
+from arborfold.plans.events import Log, quiet
 from arborfold.plans.scratch import saved
 
 SEPARATOR = "\n\n"
@@ -117,25 +118,30 @@ def batches(parts: DataFrame, packed: DataFrame) -> DataFrame:
     return placed.groupBy("grp", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "sub", "text"))), lambda x: x["text"]), SEPARATOR).alias("joined"), F.sum("len").alias("len"))
 
 
-def reduce_once(items: DataFrame, budget: int, reducer: Reducer) -> tuple[DataFrame, DataFrame]:
+def _itself(grp: Column) -> Column:
+    return grp
+
+
+def reduce_once(items: DataFrame, budget: int, reducer: Reducer, log: Log = quiet, name: Callable[[Column], Column] = _itself) -> tuple[DataFrame, DataFrame]:
     """One round for all groups of items (grp, ord, text): (grp, text) of those that are done, and the items of the others.
 
-    ord: anything that sorts, different within a group; that of the new items is an int.
+    ord: anything that sorts, different within a group; that of the new items is an int.  name: of a group, in events.
     """
     parts = expand(items.select("grp", "ord", "text"), budget)
     got = batches(parts, pack(parts, budget))
     out = saved(got.withColumn("out", reducer(F.col("grp"), F.col("joined"))).select("grp", "batch", "out", "len"))
+    log("reduced", out.select(F.concat(name(F.col("grp")), F.lit(": batch "), F.col("batch") + 1)))
     per = out.groupBy("grp").agg(F.count("*").alias("n"), F.sum("len").alias("taken"), F.sum(F.char_length("out")).alias("made"))
     stop = (F.col("n") == 1) | (F.col("made") >= F.expr("taken * 95 div 100"))
     done = out.join(per.filter(stop), "grp", "left_semi").groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "out"))), lambda x: x["out"]), SEPARATOR).alias("text"))
     return done, out.join(per.filter(~stop), "grp", "left_semi").select("grp", F.col("batch").alias("ord"), F.col("out").alias("text"))
 
 
-def reduce_items(items: DataFrame, budget: int, reducer: Reducer) -> DataFrame:
+def reduce_items(items: DataFrame, budget: int, reducer: Reducer, log: Log = quiet, name: Callable[[Column], Column] = _itself) -> DataFrame:
     """(grp, text) for each group of items (grp, ord, text); ord: anything that sorts, different within a group."""
     done = None
     while True:
-        ended, items = reduce_once(items, budget, reducer)
+        ended, items = reduce_once(items, budget, reducer, log, name)
         done = ended if done is None else done.union(ended)
         if items.isEmpty():
             return done

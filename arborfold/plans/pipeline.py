@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce as fold
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,6 +121,22 @@ def global_prompts(root_summary: DataFrame, config: Config) -> DataFrame:
     return p.select("p.page", system.alias("system"), F.concat("p.ask", "summary").alias("user"))
 
 
+GLOBAL_PAGES = ("architecture.md", "quickstart.md")
+
+
+def call_plan(files: DataFrame | Source, config: Config, backend: Backend) -> DataFrame:
+    """(path, calls): the calls of a first run for each file, directory and global page, by a run with a stand-in backend.
+
+    Digest() stands for a model whose answers are short, Head(n) for one whose answers have n characters.
+    """
+    told: list[DataFrame] = []
+    log = lambda kind, messages: told.append(messages.toDF("message")) if kind in ("extracted", "reduced") else None
+    result = reduce_tree(files, empty(files.sparkSession if isinstance(files, DataFrame) else files.index.sparkSession), config, backend, full=True, log=log)
+    pages = result.rebuilt.filter("path = '.'").select(F.explode(F.array(*map(F.lit, GLOBAL_PAGES))).alias("path"))
+    calls = fold(DataFrame.union, told).select(F.regexp_extract("message", r"(?s)^(.*): (?:step|batch) \d+", 1).alias("path")).union(pages)
+    return calls.groupBy("path").agg(F.count("*").alias("calls"))
+
+
 def agent_section(docs_dir: str) -> str:
     return f"# {MARKER}\n\nGenerated documentation of this repository is in {docs_dir}: {docs_dir}/architecture.md for the system as a whole, {docs_dir}/quickstart.md to begin with, and {docs_dir}/modules/ with a page for each directory.\n\n"
 
@@ -221,7 +238,7 @@ class Engine:
         stale = self._pages().join(held.modules.select("path"), "path", "left_anti")
         remove_files(stale.select(F.concat(F.lit(f"{docs}/modules/"), page(F.col("path"))).alias("path")), self.root)
         root = held.modules.filter("path = '.'").select("summary")
-        missing = not all((self._folder() / x).exists() for x in ("architecture.md", "quickstart.md"))
+        missing = not all((self._folder() / x).exists() for x in GLOBAL_PAGES)
         if mode == "init" or missing or not result.affected.filter("path = '.'").isEmpty():
             most = reduce_budget(self.config.num_ctx)
             long = F.concat(F.lit("the root's summary has "), F.char_length("summary"), F.lit(f" characters, more than the {most} that fit; it is sent whole"))

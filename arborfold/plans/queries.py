@@ -19,7 +19,7 @@ from arborfold.functions import paths, text
 from arborfold.operators import facts, prefix, reduce, tree
 from arborfold.plans import state as kept
 from arborfold.plans.backends import Digest, Echo
-from arborfold.plans.pipeline import MARKER, facts_of, global_prompts, reduce_tree
+from arborfold.plans.pipeline import MARKER, call_plan, facts_of, global_prompts, reduce_tree
 from arborfold.plans.scratch import folder
 from arborfold.sources.files import TableFiles
 from arborfold.sources.listing import in_order, listing
@@ -450,11 +450,13 @@ def chat_response_extract(spark, sf):
     return c.select("conv_id", "turn", text.chat_reply(body).alias("reply"))
 
 
-@query(f"WITH {FILES}, {CHUNKS} SELECT path, CAST(n_chunks * 2 AS INTEGER) AS extract_calls, CAST(CASE WHEN n_chunks > 1 THEN 2 ELSE 0 END AS INTEGER) AS least_reduce_calls FROM k")
+_CALLS = " UNION ALL ".join(["SELECT path FROM an", *(f"SELECT grp.path FROM ax{k}" for k in range(4)), *(f"SELECT grp FROM a{x}{k}" for x in "uvw" for k in range(4)), "SELECT unnest(['architecture.md', 'quickstart.md'])"])
+
+
+@query(f"WITH RECURSIVE {FILES}, {MODULES}, calls AS ({_CALLS}) SELECT path, COUNT(*) AS calls FROM calls GROUP BY path")
 def llm_call_plan(spark, sf):
-    """Calls for each file if all is new: one for each step and chunk, and at least one for each step of a split file."""
-    n = F.col("n_chunks")
-    return chunk_counts(spark, sf).select("path", (n * len(STEPS)).cast("int").alias("extract_calls"), F.when(n > 1, len(STEPS)).otherwise(0).alias("least_reduce_calls"))
+    """Calls for each file, directory and global page of a first run with short answers."""
+    return call_plan(document_files(spark, sf), CONFIG, Digest())
 
 
 @query(f"WITH {CUR} SELECT path, sha256, 'facts of ' || path AS facts FROM old")

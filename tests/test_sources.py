@@ -212,7 +212,7 @@ def test_an_update_reads_and_writes_what_a_change_touches(spark, tmp_path):
     engine.init()
     events = engine.events.table()
     assert events.filter("kind = 'extracted'").count() == 120 and events.filter("kind = 'page'").count() == 6 + 6 + 1
-    assert events.filter("kind = 'directory'").count() == 13
+    assert events.filter("kind = 'directory'").count() == 13 and events.filter("kind = 'reduced'").count() >= 13
     assert sum(k == "extracted" for k, _ in told) == 120 and told[-1] == ("success", "done")
     time.sleep(0.05)
     safety.write_inside(root, "m1/s1/f1.txt", "changed")
