@@ -60,7 +60,7 @@ def chunks(text: Column, limit: int, overlap: int) -> Column:
     """Overlapping substrings, the last ending with the text; a short text is one chunk.
 
     A substring is found by counting code points from the beginning of what it is cut from, so a long text is cut into
-    blocks of 4096 chunks, these into blocks of 64, and only those into chunks.
+    blocks of 4096 chunks, these into blocks of 64, and only those into chunks; 64 or fewer are cut at once.
     """
     step = limit - overlap
 
@@ -73,7 +73,7 @@ def chunks(text: Column, limit: int, overlap: int) -> Column:
         return F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(count / span).cast("int") - 1), part))
 
     n = n_chunks(text, limit, overlap)
-    return F.when(n == 1, F.array(text)).otherwise(cut(text, n, 4096))
+    return F.when(n == 1, F.array(text)).when(n <= 64, cut(text, n, 1)).otherwise(cut(text, n, 4096))
 
 
 def steps_hash(steps: list[tuple[str, str]]) -> str:

@@ -96,7 +96,7 @@ def pack(parts: DataFrame, budget: int) -> DataFrame:
     Lengths over the budget count as the budget; expand() leaves none.  Empty parts go with what is before them.
     """
     own = F.least("len", F.lit(budget))
-    parts = parts.select("grp", "ord", "sub", "len")
+    parts = saved(parts.select("grp", "ord", "sub", "len"))  # texts are not looked at again
     longest = parts.groupBy("grp").agg(F.sum(own.cast("long")).alias("n")).agg(F.max("n")).first()[0] or 0
     if longest <= budget:  # each group is one batch
         return parts.withColumn("batch", F.lit(0))
